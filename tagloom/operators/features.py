@@ -178,12 +178,14 @@ def ridge_matrix(
     hinge_columns = [role[k] for k in ("spray_temp", "spray_flow") if k in role]
     derived += hinges(df, hinge_columns, knots) + line_dummies(df)
     wide = df.select("*", *derived)
+    n = df.count()
     stepped = [role[k] for k in ("MV", "spray_flow") if k in role]
     if stepped:
         wide = order.over_rows(
             wide, lambda w: [diff(c, 1, w, f"{c}__diff1") for c in stepped],
-            order_by=[ts, *tie], partition_by=partition_by, before=1, rows_per_chunk=rows_per_chunk,
+            order_by=[ts, *tie], partition_by=partition_by, before=1, rows_per_chunk=rows_per_chunk, n_rows=n,
         )
+        wide = order.settle(wide, n, rows_per_chunk)
     lagged = base + (["control_error"] if has("SV", "PV") else [])
 
     def build(w):
@@ -194,7 +196,7 @@ def ridge_matrix(
 
     full = order.over_time(
         wide, build, ts=ts, tie=tie, partition_by=partition_by,
-        before_us=max(*lags, *windows) * MINUTE, after_us=horizon * MINUTE, rows_per_chunk=rows_per_chunk,
+        before_us=max(*lags, *windows) * MINUTE, after_us=horizon * MINUTE, rows_per_chunk=rows_per_chunk, n_rows=n,
     )
     features = [c for c in full.columns if c not in df.columns and c != "label"]
     return full.select(*partition_by, ts, *features, "label").dropna()

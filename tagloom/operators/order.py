@@ -13,6 +13,9 @@ two ways:
   (``running_sum``, ``row_index``, ``fill``).
 
 A table counted to be no larger than one chunk skips all this and runs a plain window.
+
+Cut points, carries and rows are three readings of the same input.  Operators that chain
+several ordered steps therefore ``settle`` the rows between two steps.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from tagloom.session import ROWS_PER_CHUNK, setting
+from tagloom.session import ROWS_PER_CHUNK, materialize, setting
 
 MAX_CHUNKS = 1 << 15
 _SAMPLES_PER_CHUNK = 16
@@ -78,6 +81,12 @@ class Chunked:
     def window(self) -> WindowSpec:
         return Window.partitionBy(CHUNK, *self.partition_by).orderBy(*self.order_by)
 
+    @property
+    def reversed_window(self) -> WindowSpec:
+        """The same rows backwards: a growing frame is linear, a shrinking one is not."""
+        backwards = [F.col(c).desc_nulls_last() for c in self.order_by]
+        return Window.partitionBy(CHUNK, *self.partition_by).orderBy(*backwards)
+
 
 def chunk(
     df: DataFrame,
@@ -107,13 +116,17 @@ def chunk(
     return Chunked(chunked, single=False, cuts=cuts, rows_per_chunk=size, **spec)
 
 
-def _chunk_table(ch: Chunked, *aggs: Column) -> DataFrame:
-    """One row per chunk; at most ``MAX_CHUNKS + 1`` rows, so it may be broadcast."""
-    return ch.df.groupBy(CHUNK).agg(*aggs)
+def settle(df: DataFrame, n_rows: int, rows_per_chunk: int | None = None) -> DataFrame:
+    """Materialise ``df`` if it is larger than one chunk."""
+    size = rows_per_chunk or setting(df.sparkSession, ROWS_PER_CHUNK)
+    return df if n_rows <= size else materialize(df)
 
 
 def _carried_sum(ch: Chunked, value: Column) -> DataFrame:
-    """Per chunk: the partition key that runs into it and the sum of its earlier rows."""
+    """Per chunk: the partition key that runs into it and the sum of its earlier rows.
+
+    One row per chunk, at most ``MAX_CHUNKS + 1``, so the table may be broadcast.
+    """
     keyed = (
         ch.df.groupBy(CHUNK, *ch.partition_by)
         .agg(F.sum(value).alias("s"))
@@ -133,9 +146,10 @@ def running_sum(
     order_by: Sequence[str],
     partition_by: Sequence[str] = (),
     rows_per_chunk: int | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in order, restarted per ``partition_by`` key."""
-    ch = chunk(df.withColumn("__v", value), order_by, partition_by, rows_per_chunk)
+    ch = chunk(df.withColumn("__v", value), order_by, partition_by, rows_per_chunk, n_rows)
     return _running_sum(ch, name).select(*df.columns, name)
 
 
@@ -249,13 +263,14 @@ def fill(
     partition_by: Sequence[str] = (),
     direction: str = "forward",
     rows_per_chunk: int | None = None,
+    n_rows: int | None = None,
     suffix: str = "",
 ) -> DataFrame:
     """Last (``forward``), next (``backward``) or either known value of each column.
 
     ``both`` is a forward fill followed by a backward fill.
     """
-    ch = chunk(df, order_by, partition_by, rows_per_chunk)
+    ch = chunk(df, order_by, partition_by, rows_per_chunk, n_rows)
     filled = _fill(ch, {c: F.col(c) for c in columns}, direction)
     return filled.select(
         *[c for c in df.columns if suffix or c not in columns],
@@ -279,15 +294,15 @@ def _fill(ch: Chunked, values: dict[str, Column], direction: str) -> DataFrame:
             aggs.append(F.min_by(pair, at).alias(f"__n_{n}"))
         table = df.groupBy(CHUNK).agg(*aggs)
         past = Window.orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        ahead = Window.orderBy(CHUNK).rowsBetween(1, Window.unboundedFollowing)
+        ahead = Window.orderBy(F.desc(CHUNK)).rowsBetween(Window.unboundedPreceding, -1)
         table = table.select(
             CHUNK,
             *[F.last(f"__l_{n}", ignorenulls=True).over(past).alias(f"__p_{n}") for n in values],
-            *[F.first(f"__n_{n}", ignorenulls=True).over(ahead).alias(f"__a_{n}") for n in values],
+            *[F.last(f"__n_{n}", ignorenulls=True).over(ahead).alias(f"__a_{n}") for n in values],
         )
         df = df.join(F.broadcast(table), CHUNK)
     past = ch.window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = ch.window.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    ahead = ch.reversed_window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = []
     for n in values:
         choices = []
@@ -297,7 +312,7 @@ def _fill(ch: Chunked, values: dict[str, Column], direction: str) -> DataFrame:
                 same = own_key.eqNullSafe(F.col(f"__p_{n}.k"))
                 choices.append(F.when(same, F.col(f"__p_{n}.v")))
         if backward:
-            choices.append(F.first(f"__x_{n}", ignorenulls=True).over(ahead))
+            choices.append(F.last(f"__x_{n}", ignorenulls=True).over(ahead))
             if not ch.single:
                 same = own_key.eqNullSafe(F.col(f"__a_{n}.k"))
                 choices.append(F.when(same, F.col(f"__a_{n}.v")))

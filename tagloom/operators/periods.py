@@ -50,8 +50,9 @@ def with_segments(
         changed = ~F.col(variety).eqNullSafe(F.lag(variety).over(w)) & (F.lag(F.lit(1)).over(w) == 1)
         return [F.coalesce(changed, F.lit(False)).cast("int").alias("__new")]
 
-    opts = dict(order_by=order_by, partition_by=partition_by, rows_per_chunk=rows_per_chunk)
-    flagged = order.over_rows(df, build, before=1, **opts)
+    n = df.count()
+    opts = dict(order_by=order_by, partition_by=partition_by, rows_per_chunk=rows_per_chunk, n_rows=n)
+    flagged = order.settle(order.over_rows(df, build, before=1, **opts), n, rows_per_chunk)
     numbered = order.running_sum(flagged, F.col("__new"), "segment_id", **opts)
     return numbered.drop("__new")
 
@@ -101,8 +102,10 @@ def position_by_equipment(
         moved = F.lag(F.lit(1)).over(w).isNotNull() & ~F.col(equipment).eqNullSafe(F.lag(equipment).over(w))
         return [F.when(moved, 1 + gap).otherwise(1).alias("__step")]
 
-    stepped = order.over_rows(rows, build, order_by=keys, before=1, rows_per_chunk=rows_per_chunk)
-    placed = order.running_sum(stepped, F.col("__step"), "position", order_by=keys, rows_per_chunk=rows_per_chunk)
+    n = rows.count()
+    opts = dict(order_by=keys, rows_per_chunk=rows_per_chunk, n_rows=n)
+    stepped = order.settle(order.over_rows(rows, build, before=1, **opts), n, rows_per_chunk)
+    placed = order.running_sum(stepped, F.col("__step"), "position", **opts)
     return placed.withColumn("position", F.col("position") - 1).drop("__step")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators import order
-from tagloom.session import ROWS_PER_CHUNK, setting
+from tagloom.session import ROWS_PER_CHUNK, materialize, setting
 
 
 def long_form(df: DataFrame, columns: Sequence[str], keep: Sequence[str] = ()) -> DataFrame:
@@ -44,11 +44,11 @@ def quantiles(
         )
     keys = [*by, "column"]
     values = long_form(df, columns, by).where(F.col("value").isNotNull())
-    counted = values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c"))
+    tally = materialize(values.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("c")))
     counted = order.running_sum(
-        counted, F.col("c"), "upto", order_by=["value"], partition_by=keys, rows_per_chunk=size
+        tally, F.col("c"), "upto", order_by=["value"], partition_by=keys, rows_per_chunk=size
     )
-    totals = values.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    totals = tally.groupBy(*keys).agg(F.sum("c").alias("n"))
     same = [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in keys]
     condition = same[0]
     for s in same[1:]:

@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.scalars import numeric_columns
 from tagloom.operators import order
+from tagloom.session import ROWS_PER_CHUNK, setting
 
 
 def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
@@ -42,44 +45,84 @@ def corr_with_target(df: DataFrame, target: str, columns: Sequence[str] | None =
     return ranked.orderBy(F.desc_nulls_last("abs_r"), "column").limit(top)
 
 
-def _lag_corr(df: DataFrame, jobs: Sequence[tuple[str, str, int]], **opts) -> DataFrame:
-    """r of ``x(i)`` and ``y(i + k)`` for every ``(x, y, k)`` from one halo pass."""
-    reach = max((abs(k) for _, _, k in jobs), default=0)
-
-    def build(w):
-        return [
-            (F.lead(y, k) if k >= 0 else F.lag(y, -k)).over(w).alias(f"__l{i}") for i, (_, y, k) in enumerate(jobs)
-        ]
-
-    shifted = order.over_rows(df, build, before=reach, after=reach, **opts)
-    exprs = [F.corr(x, f"__l{i}").alias(f"r{i}") for i, (x, _, _) in enumerate(jobs)]
-    rows = F.array(
-        *[
-            F.struct(F.lit(x).alias("var1"), F.lit(y).alias("var2"), F.lit(k).cast("bigint").alias("lag"),
-                     F.nanvl(F.col(f"r{i}"), F.lit(None)).alias("r"))
-            for i, (x, y, k) in enumerate(jobs)
+def _lag_products(
+    df: DataFrame, pairs: Sequence[tuple[str, str]], reach: int, *, order_by: Sequence[str], n: int, rows_per_chunk: int | None
+) -> dict[tuple[int, int], float]:
+    """``sum(a(i) * b(i + k))`` for every pair and ``k = 0..reach``.
+
+    Blocks of consecutive rows, each with the ``reach`` rows that follow, become one dot
+    product per lag; only ``pairs x lags`` sums per block leave the tasks.
+    """
+    block = min(max(rows_per_chunk or setting(df.sparkSession, ROWS_PER_CHUNK), 4 * reach), max(n, 1))
+    columns = list(dict.fromkeys(c for p in pairs for c in p))
+    indexed = order.row_index(df, "__i", order_by=order_by, n_rows=n, rows_per_chunk=rows_per_chunk)
+    here, offset = F.floor(F.col("__i") / block), F.col("__i") % block
+    targets = F.array_compact(F.array(here, F.when((offset < reach) & (here > 0), here - 1)))
+    spread = indexed.select("__i", *columns, F.explode(targets).alias("__block"))
+
+    def products(pdf: pd.DataFrame) -> pd.DataFrame:
+        start = int(pdf["__block"].iloc[0]) * block
+        values = np.zeros((len(columns), block + reach))
+        values[:, pdf["__i"].to_numpy() - start] = pdf[columns].to_numpy(dtype=float).T
+        at = {c: values[i] for i, c in enumerate(columns)}
+        rows = [
+            (j, k, float(at[a][:block] @ at[b][k : k + block])) for j, (a, b) in enumerate(pairs) for k in range(reach + 1)
         ]
-    )
-    return shifted.agg(*exprs).select(F.inline(rows))
+        return pd.DataFrame(rows, columns=["pair", "lag", "s"])
+
+    sums = spread.groupBy("__block").applyInPandas(products, "pair int, lag int, s double")
+    return {(r["pair"], r["lag"]): r["s"] for r in sums.groupBy("pair", "lag").agg(F.sum("s").alias("s")).collect()}
+
+
+def _centred(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> tuple[DataFrame, int]:
+    """Complete rows with the column means subtracted (``c0, c1, ...``), and their number."""
+    kept = df.select(*dict.fromkeys([*order_by, *columns])).dropna(subset=list(columns))
+    stats = kept.agg(F.count(F.lit(1)), *[F.avg(c) for c in columns]).first()
+    means = [F.lit(m) for m in stats[1:]]
+    centred = kept.select(*order_by, *[(F.col(c) - m).alias(f"c{i}") for i, (c, m) in enumerate(zip(columns, means))])
+    return centred, stats[0]
+
+
+def _pearson(df: DataFrame, a: str, b: str, lags: Sequence[int], *, order_by, n: int, rows_per_chunk) -> list[tuple[int, float]]:
+    """r of ``a(i)`` and ``b(i + k)`` over the rows where both exist.
+
+    The cross products come from one pass; the sums over a shortened series are the
+    total minus the first or last few rows.
+    """
+    reach = max(abs(k) for k in lags)
+    cross = _lag_products(df, [(a, b), (b, a)], reach, order_by=order_by, n=n, rows_per_chunk=rows_per_chunk)
+    total = df.agg(*[F.sum(e) for c in (a, b) for e in (F.col(c), F.col(c) * F.col(c))]).first()
+    head = df.orderBy(*order_by).limit(reach).select(a, b).collect()
+    tail = df.orderBy(*[F.col(c).desc_nulls_last() for c in order_by]).limit(reach).select(a, b).collect()
+
+    def cut(rows, column: int, k: int, power: int) -> float:
+        return sum(r[column] ** power for r in rows[:k])
+
+    out = []
+    for k in lags:
+        m = abs(k)
+        first, last = (tail, head) if k >= 0 else (head, tail)  # rows that a, and b, lose
+        sa, saa = total[0] - cut(first, 0, m, 1), total[1] - cut(first, 0, m, 2)
+        sb, sbb = total[2] - cut(last, 1, m, 1), total[3] - cut(last, 1, m, 2)
+        sab, size = cross[(0 if k >= 0 else 1, m)], n - m
+        spread = (saa - sa * sa / size) * (sbb - sb * sb / size)
+        out.append((k, (sab - sa * sb / size) / spread**0.5 if spread > 0 else None))
+    return out
 
 
 def cross_corr(
     df: DataFrame, columns: Sequence[str], *, order_by: Sequence[str], max_lag: int = 20, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """r at every lag of ``+-min(max_lag, n/4)`` for each column pair over its complete rows."""
-    parts = []
+    rows = []
     for a, b in combinations(columns, 2):
-        pair = df.select(*dict.fromkeys([*order_by, a, b])).dropna(subset=[a, b])
-        n = pair.count()
+        pair, n = _centred(df, [a, b], order_by)
         if n < 20:
             continue
         reach = min(max_lag, n // 4)
-        jobs = [(a, b, k) for k in range(-reach, reach + 1)]
-        parts.append(_lag_corr(pair, jobs, order_by=order_by, n_rows=n, rows_per_chunk=rows_per_chunk))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        found = _pearson(pair, "c0", "c1", range(-reach, reach + 1), order_by=order_by, n=n, rows_per_chunk=rows_per_chunk)
+        rows += [(a, b, k, r) for k, r in found]
+    return df.sparkSession.createDataFrame(rows, "var1 string, var2 string, lag bigint, r double")
 
 
 def best_lags(table: DataFrame) -> DataFrame:
@@ -94,29 +137,20 @@ def autocorr(
     df: DataFrame, column: str, *, order_by: Sequence[str], max_lag: int = 100, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Pearson r of the series and itself ``lag`` rows later, lags 1 to ``min(max_lag, n/2) - 1``."""
-    series = df.select(*dict.fromkeys([*order_by, column])).dropna(subset=[column])
-    n = series.count()
-    if n < 50:
-        return df.sparkSession.createDataFrame([], "lag bigint, r double")
-    jobs = [(column, column, k) for k in range(1, min(max_lag, n // 2))]
-    return _lag_corr(series, jobs, order_by=order_by, n_rows=n, rows_per_chunk=rows_per_chunk).select("lag", "r")
+    series, n = _centred(df, [column], order_by)
+    rows = []
+    if n >= 50:
+        lags = range(1, min(max_lag, n // 2))
+        rows = _pearson(series, "c0", "c0", lags, order_by=order_by, n=n, rows_per_chunk=rows_per_chunk)
+    return df.sparkSession.createDataFrame(rows, "lag bigint, r double")
 
 
 def acf(
     df: DataFrame, column: str, *, order_by: Sequence[str], max_lag: int = 50, rows_per_chunk: int | None = None
 ) -> DataFrame:
     """Biased autocorrelation (global mean, divided by n), lags 0 to ``min(max_lag, n/4) - 1``."""
-    series = df.select(*dict.fromkeys([*order_by, column])).dropna(subset=[column])
-    n, mean = series.agg(F.count(column), F.avg(column)).first()
-    lags = list(range(min(max_lag, n // 4)))
-    centred = series.withColumn("__c", F.col(column) - F.lit(mean))
-
-    def build(w):
-        return [(F.col("__c") * F.lead("__c", k).over(w)).alias(f"__p{k}") for k in lags]
-
-    wide = order.over_rows(
-        centred, build, order_by=order_by, after=max(lags, default=0), n_rows=n, rows_per_chunk=rows_per_chunk
-    )
-    sums = wide.agg(*[F.sum(f"__p{k}").alias(f"s{k}") for k in lags])
-    rows = F.array(*[F.struct(F.lit(k).cast("bigint").alias("lag"), (F.try_divide(F.col(f"s{k}"), F.col("s0"))).alias("r")) for k in lags])
-    return sums.select(F.inline(rows))
+    series, n = _centred(df, [column], order_by)
+    lags = range(min(max_lag, n // 4))
+    sums = _lag_products(series, [("c0", "c0")], max(lags, default=0), order_by=order_by, n=n, rows_per_chunk=rows_per_chunk)
+    rows = [(k, sums[(0, k)] / sums[(0, 0)]) for k in lags]
+    return df.sparkSession.createDataFrame(rows, "lag bigint, r double")

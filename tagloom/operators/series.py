@@ -8,6 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tagloom.functions import temporal
 from tagloom.operators import order
@@ -51,7 +52,8 @@ def change_scores(
         delta = lambda f: F.when(full, F.abs(f("x").over(now) - f("x").over(prev)))
         return [delta(F.avg).alias("mean_change"), delta(F.stddev_samp).alias("std_change")]
 
-    return order.over_rows(series, build, order_by=order_by, before=size, n_rows=n, rows_per_chunk=rows_per_chunk)
+    scores = order.over_rows(series, build, order_by=order_by, before=size, n_rows=n, rows_per_chunk=rows_per_chunk)
+    return order.settle(scores, n, rows_per_chunk)
 
 
 def change_points(
@@ -105,7 +107,7 @@ def _trend(indexed: DataFrame, period: int, n: int, rows_per_chunk: int | None)
     # A window of a fixed share of the rows: differences of running sums instead of a frame.
     mean = indexed.agg(F.avg("x")).first()[0]
     sums = order.running_sum(
-        indexed, F.col("x") - F.lit(mean), "upto", order_by=["idx"], rows_per_chunk=rows_per_chunk
+        indexed, F.col("x") - F.lit(mean), "upto", order_by=["idx"], rows_per_chunk=rows_per_chunk, n_rows=n
     )
     offsets = [half - 1 + period % 2, -half - 1, half, -half - period % 2]
     at = _by_index(sums, "upto", offsets)
@@ -128,17 +130,17 @@ def decompose(
     Gaps are filled forward, then backward; the trend ends are extended by least-squares
     lines over one period of complete trend points; seasonal means sum to zero.
     """
-    opts = dict(order_by=order_by, rows_per_chunk=rows_per_chunk)
-    series = df.select(*order_by, F.col(column).cast("double").alias("x"))
-    filled = order.fill(series, ["x"], direction="both", **opts)
     if period is None:
         first, last, n = df.agg(F.min(ts), F.max(ts), F.count(F.lit(1))).first()
         period = decomposition_period(n, (last - first).days)
     else:
         n = df.count()
-    indexed = order.row_index(filled, "idx", **opts)
+    opts = dict(order_by=order_by, rows_per_chunk=rows_per_chunk, n_rows=n)
+    series = df.select(*order_by, F.col(column).cast("double").alias("x"))
+    filled = order.settle(order.fill(series, ["x"], direction="both", **opts), n, rows_per_chunk)
+    indexed = order.settle(order.row_index(filled, "idx", **opts), n, rows_per_chunk)
     half = period // 2
-    with_trend = _trend(indexed, period, n, rows_per_chunk)
+    with_trend = order.settle(_trend(indexed, period, n, rows_per_chunk), n, rows_per_chunk)
     front, back = half, n - 1 - half
     fits = {
         "front": F.col("idx").between(front, min(front + period, back) - 1),
@@ -198,7 +200,7 @@ def period_vs_overall(df: DataFrame, columns: Sequence[str], start: str, end: st
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_quantile(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     inverse = NormalDist().inv_cdf
     for p in batches:

@@ -32,6 +32,13 @@ def _factors(n: int, limit: int) -> tuple[int, int] | None:
     return None
 
 
+def _whole(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
+    x = np.zeros(n, dtype=complex)
+    x[pdf["k"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+    y = np.fft.fft(x)
+    return pd.DataFrame({"k": np.arange(n, dtype=np.int64), "re": y.real, "im": y.imag})
+
+
 def _four_step(signal: DataFrame, n: int, n1: int, n2: int, inverse: bool = False) -> DataFrame:
     """FFT of ``(k, re, im)`` rows; ``k`` missing from the input means zero."""
     sign = 1.0 if inverse else -1.0
@@ -92,7 +99,7 @@ def _bluestein(signal: DataFrame, n: int, group_rows: int) -> DataFrame:
 def fft(signal: DataFrame, n: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Discrete Fourier transform of ``(k, re, im)`` rows, k = 0..n-1."""
     if n <= group_rows:
-        return _four_step(signal, n, n, 1) if n > 0 else signal
+        return signal.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: _whole(pdf, n), _SCHEMA)
     split = _factors(n, group_rows)
     return _four_step(signal, n, *split) if split else _bluestein(signal, n, group_rows)
 

@@ -105,15 +105,17 @@ def interpolate(
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """Linear interpolation by row position; leading gaps stay, trailing gaps take the last value."""
-    opts = dict(order_by=order_by, partition_by=partition_by, rows_per_chunk=rows_per_chunk)
-    indexed = order.row_index(df, "__i", **opts)
-    ch = order.chunk(indexed, order_by, partition_by, rows_per_chunk)
+    n = df.count()
+    opts = dict(order_by=order_by, partition_by=partition_by, rows_per_chunk=rows_per_chunk, n_rows=n)
+    indexed = order.settle(order.row_index(df, "__i", **opts), n, rows_per_chunk)
+    ch = order.chunk(indexed, **opts)
     points = {
         c: F.when(F.col(c).isNotNull(), F.struct(F.col("__i").alias("i"), F.col(c).cast("double").alias("v")))
         for c in columns
     }
     back = order._fill(ch, points, "forward")
     back = back.select(*indexed.columns, order.CHUNK, *[F.col(f"__f_{c}").alias(f"__prev_{c}") for c in columns])
+    back = order.settle(back, n, rows_per_chunk)
     both = order._fill(order.Chunked(back, ch.partition_by, ch.order_by, ch.single), points, "backward")
 
     def value(c: str) -> Column:

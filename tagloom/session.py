@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROWS_PER_CHUNK = "tagloom.rowsPerChunk"
 BROADCAST_ROWS = "tagloom.broadcastRows"
@@ -40,9 +40,12 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tagloom-{run_id}"
 
 
-def reliable_checkpoint(df):
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint()
+def materialize(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    Cuts the lineage at a point that outlives executors and stays columnar, so later
+    steps still prune columns.
+    """
+    path = shared_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tagloom.catalogue.base import query
-from tagloom.functions.text import parse_card, parse_card_strict
+from tagloom.functions.text import parse_cards
 from tagloom.operators import findings
 from tagloom.plans import report
 
@@ -132,12 +132,12 @@ CARDS = """SELECT c_custkey, c_name AS company, c_mktsegment AS department, '部
 
 @query("contact_cards", CARDS)
 def contact_cards(t):
-    return _cards(t, True).select("c_custkey", parse_card(F.col("block")).alias("c")).select("c_custkey", "c.*")
+    return parse_cards(_cards(t, True), "block")
 
 
 @query("contact_cards_strict", CARDS)
 def contact_cards_strict(t):
-    return _cards(t, False).select("c_custkey", parse_card_strict(F.col("block")).alias("c")).select("c_custkey", "c.*")
+    return parse_cards(_cards(t, False), "block", strict=True)
 
 
 @query(
@@ -146,5 +146,4 @@ def contact_cards_strict(t):
       SELECT doc_id, coalesce(trim(l[1]), '') AS company, coalesce(trim(l[3]), '') AS name, coalesce(trim(l[4]), '') AS tel FROM l""",
 )
 def contact_cards_documents(t):
-    c = t.documents.select("doc_id", parse_card(F.col("text")).alias("c"))
-    return c.select("doc_id", "c.company", "c.name", "c.tel")
+    return parse_cards(t.documents.select("doc_id", "text"), "text").select("doc_id", "company", "name", "tel")

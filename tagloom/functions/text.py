@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FIELDS = ["company", "department", "position", "zip", "address", "tel", "name", "mail", "fax", "link"]
@@ -12,10 +12,6 @@ ADDRESS_LABEL = "住所"
 WIDE_SPACE = "　"
 
 
-def _trim(line: Column) -> Column:
-    return F.trim(line)
-
-
 def _lines(text: Column) -> Column:
     return F.split(text, "\r?\n")
 
@@ -24,60 +20,60 @@ def _words(line: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(line, WIDE_SPACE, " ")), " ")
 
 
-def _or_empty(value: Column) -> Column:
-    return F.coalesce(value, F.lit(""))
-
-
-def _fields(head: Column, rest: Column) -> Column:
-    """``head`` holds company, position/department and name; ``rest`` starts at the phone."""
-    words = _words(F.get(head, F.lit(1)))
-    has_fax = ~F.get(rest, F.lit(1)).contains("@")
-    mail_at = F.when(has_fax, F.lit(2)).otherwise(F.lit(1))
-    tail = F.slice(rest, mail_at + 2, F.greatest(F.size(rest) - mail_at - 1, F.lit(0)))
-    labelled = lambda x: (F.trim(x) == "") | x.contains(ADDRESS_LABEL)
-    # number of leading label lines before the postal code
-    skipped = F.aggregate(
-        tail,
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("lead")),
-        lambda acc, x: F.struct(
-            F.when(acc["lead"] & labelled(x), acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            (acc["lead"] & labelled(x)).alias("lead"),
-        ),
-        lambda acc: acc["n"],
-    )
-    at = lambda arr, i: _or_empty(_trim(F.get(arr, i)))
-    return F.struct(
-        at(head, F.lit(0)).alias("company"),
-        _or_empty(F.get(words, F.lit(1))).alias("department"),
-        _or_empty(F.get(words, F.lit(0))).alias("position"),
-        at(tail, skipped).alias("zip"),
-        at(tail, skipped + 1).alias("address"),
-        at(rest, F.lit(0)).alias("tel"),
-        at(head, F.lit(2)).alias("name"),
-        at(rest, mail_at).alias("mail"),
-        F.when(has_fax, at(rest, F.lit(1))).otherwise(F.lit("")).alias("fax"),
-        at(tail, skipped + 2).alias("link"),
-    )
+def _after(lines: Column, start: int) -> Column:
+    return F.slice(lines, start, F.greatest(F.size(lines) - (start - 1), F.lit(0)))
 
 
-def parse_card(text: Column) -> Column:
-    """Tolerant form: blank lines anywhere are skipped, missing fields become ''."""
-    lines = F.filter(_lines(text), lambda x: F.trim(x) != "")
-    return _fields(F.slice(lines, 1, 3), F.slice(lines, 4, F.greatest(F.size(lines) - 3, F.lit(0))))
-
-
-def parse_card_strict(text: Column) -> Column:
-    """Strict form: blank lines are skipped only before the phone and the postal code."""
-    lines = _lines(text)
-    after = F.slice(lines, 4, F.greatest(F.size(lines) - 3, F.lit(0)))
-    blanks = F.aggregate(
-        after,
-        F.struct(F.lit(0).alias("n"), F.lit(True).alias("lead")),
-        lambda acc, x: F.struct(
-            F.when(acc["lead"] & (F.trim(x) == ""), acc["n"] + 1).otherwise(acc["n"]).alias("n"),
-            (acc["lead"] & (F.trim(x) == "")).alias("lead"),
-        ),
-        lambda acc: acc["n"],
+def _leading(lines: Column, matches) -> Column:
+    """Number of leading lines that match."""
+    step = lambda acc, x: F.struct(
+        F.when(acc["lead"] & matches(x), acc["n"] + 1).otherwise(acc["n"]).alias("n"),
+        (acc["lead"] & matches(x)).alias("lead"),
     )
-    rest = F.slice(after, blanks + 1, F.greatest(F.size(after) - blanks, F.lit(0)))
-    return _fields(F.slice(lines, 1, 3), rest)
+    start = F.struct(F.lit(0).alias("n"), F.lit(True).alias("lead"))
+    return F.aggregate(lines, start, step, lambda acc: acc["n"])
+
+
+def _blank(line: Column) -> Column:
+    return F.trim(line) == ""
+
+
+def parse_cards(df: DataFrame, text: str, strict: bool = False) -> DataFrame:
+    """Replace column ``text`` by the ten fields; missing fields become ''.
+
+    The tolerant form skips blank lines anywhere; the strict one only before the phone
+    and the postal code.  The first three lines are company, position/department and
+    name; a line without @ after the phone is the fax.  Steps are separate projections,
+    so each is computed once per row.
+    """
+    lines = _lines(F.col(text))
+    staged = df.withColumn("__lines", lines if strict else F.filter(lines, lambda x: ~_blank(x)))
+    rest = _after(F.col("__lines"), 4)
+    staged = staged.withColumn("__rest", rest)
+    if strict:
+        lead = _leading(F.col("__rest"), _blank)
+        staged = staged.withColumn("__n", lead)
+        size = F.greatest(F.size("__rest") - F.col("__n"), F.lit(0))
+        staged = staged.withColumn("__rest", F.slice(F.col("__rest"), F.col("__n") + 1, size))
+    fax = ~F.get("__rest", F.lit(1)).contains("@")
+    staged = staged.withColumn("__mail", F.when(fax, F.lit(2)).otherwise(F.lit(1)))
+    size = F.greatest(F.size("__rest") - F.col("__mail") - 1, F.lit(0))
+    staged = staged.withColumn("__tail", F.slice(F.col("__rest"), F.col("__mail") + 2, size))
+    label = lambda x: _blank(x) | x.contains(ADDRESS_LABEL)
+    staged = staged.withColumn("__skip", _leading(F.col("__tail"), label))
+    staged = staged.withColumn("__words", _words(F.get("__lines", F.lit(1))))
+    at = lambda column, i: F.coalesce(F.trim(F.get(column, i)), F.lit(""))
+    fields = {
+        "company": at("__lines", F.lit(0)),
+        "department": at("__words", F.lit(1)),
+        "position": at("__words", F.lit(0)),
+        "zip": at("__tail", F.col("__skip")),
+        "address": at("__tail", F.col("__skip") + 1),
+        "tel": at("__rest", F.lit(0)),
+        "name": at("__lines", F.lit(2)),
+        "mail": at("__rest", F.col("__mail")),
+        "fax": F.when(F.col("__mail") == 2, at("__rest", F.lit(1))).otherwise(F.lit("")),
+        "link": at("__tail", F.col("__skip") + 2),
+    }
+    keep = [c for c in df.columns if c != text]
+    return staged.select(*keep, *[fields[f].alias(f) for f in FIELDS])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.scalars import numeric_columns
-from tagloom.operators.quantiles import long_form, quantiles
+from tagloom.operators.quantiles import per_column, quartiles
 
 
 def cv(column: str | Column) -> Column:
@@ -57,17 +57,19 @@ def categorical_summary(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def describe(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """count, mean, std, min, q25, q50, q75, max per numeric column."""
     columns = list(columns or numeric_columns(df))
-    base = long_form(df, columns).groupBy("column").agg(
-        F.count("value").alias("count"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        F.max("value").alias("max"),
+    num = lambda c: F.col(c).cast("double")
+    base = per_column(
+        df, columns,
+        {
+            "count": F.count,
+            "mean": lambda c: F.avg(num(c)),
+            "std": lambda c: F.stddev_samp(num(c)),
+            "min": lambda c: F.min(num(c)),
+            "max": lambda c: F.max(num(c)),
+        },
     )
-    q = quantiles(df, columns, [0.25, 0.5, 0.75])
-    at = lambda p: F.max(F.when(F.col("p") == p, F.col("value")))
-    q = q.groupBy("column").agg(at(0.25).alias("q25"), at(0.5).alias("q50"), at(0.75).alias("q75"))
-    return base.join(F.broadcast(q), "column", "left")
+    q = quartiles(df, columns)
+    return base.join(F.broadcast(q), "column", "left")  # one row per column on both sides
 
 
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from tagloom.operators.quality import fill_mean, fill_zero
 from tagloom.operators.quantiles import quantile_values
 from tagloom.operators.scaling import standardize
+from tagloom.session import materialize
 
 
 def _scaled_vectors(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -144,7 +145,7 @@ def fit_isolation_forest(
     size = min(sample_size, n)
     spread = df.select(*key, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
     share = min(1.0, 2.0 * size / n)
-    if n > 8 * trees * size:
+    if n >= 2 * trees * size:
         # each row stands for at most one tree: no row is multiplied
         spread = spread.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(trees)).cast("int"))
         share = min(1.0, share * trees)
@@ -179,8 +180,9 @@ def anomaly_scores(
     ``prepare`` is ``mean`` (mean fill) or ``scaled`` (zero fill, standardised).
     """
     ready = fill_mean(df, columns) if prepare == "mean" else standardize(fill_zero(df, columns), columns)
-    scored = fit_isolation_forest(ready, columns, key, **options).score(ready)
-    limit = quantile_values(scored, ["score"], [contamination])["score"][0]
+    # scoring in Python costs more than writing its result once
+    scored = materialize(fit_isolation_forest(ready, columns, key, **options).score(ready))
+    limit = quantile_values(scored, ["score"], [contamination], n_rows=df.count())["score"][0]
     return scored.withColumn("is_anomaly", F.col("score") < F.lit(limit))
 
 

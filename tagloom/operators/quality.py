@@ -10,24 +10,16 @@ from pyspark.sql import functions as F
 from tagloom.functions.scalars import numeric_columns, text_columns, time_columns
 from tagloom.operators import order
 from tagloom.operators.aggregates import duplicate_rows
-from tagloom.operators.quantiles import clip, iqr_bounds, long_form, quantile_values, quartiles
+from tagloom.operators.quantiles import clip, iqr_bounds, per_column, quantile_values
 
 
-def per_column(df: DataFrame, columns: Sequence[str], metrics: dict[str, object], cast: dict[str, str]) -> DataFrame:
-    """One aggregate over all columns, reshaped to one row per column.
+def column_profile(df: DataFrame, order_by: Sequence[str], approximate: bool = False) -> DataFrame:
+    """Type, missing count and rate, distinct count and first value of every column.
 
-    ``metrics`` maps a name to a function of the column name; ``cast`` gives its type.
+    ``approximate`` counts distinct values with a sketch: one pass without a shuffle of
+    the values.
     """
-    packed = [
-        F.struct(*[f(c).cast(cast[m]).alias(m) for m, f in metrics.items()]).alias(f"c{i}")
-        for i, c in enumerate(columns)
-    ]
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("m")) for i, c in enumerate(columns)])
-    return df.agg(*packed).select(F.inline(rows)).select("column", "m.*")
-
-
-def column_profile(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
-    """Type, missing count and rate, distinct count and first value of every column."""
+    distinct = F.approx_count_distinct if approximate else F.count_distinct
     types = F.create_map(*[F.lit(x) for f in df.schema for x in (f.name, f.dataType.simpleString())])
     numeric, text, time = numeric_columns(df), text_columns(df), time_columns(df)
     kind = (
@@ -43,10 +35,9 @@ def column_profile(df: DataFrame, order_by: Sequence[str]) -> DataFrame:
         {
             "n": lambda c: F.count(F.lit(1)),
             "n_null": lambda c: F.count_if(F.col(c).isNull()),
-            "n_distinct": lambda c: F.count_distinct(F.col(c)),
+            "n_distinct": lambda c: distinct(F.col(c)),
             "sample": lambda c: F.min_by(F.substring(F.col(c).cast("string"), 1, 20), key),
         },
-        {"n": "bigint", "n_null": "bigint", "n_distinct": "bigint", "sample": "string"},
     )
     rate = F.round(F.try_divide(F.col("n_null") * 100, "n"), 2)
     return prof.select(
@@ -68,13 +59,17 @@ def sample_kurtosis(n: Column, g2: Column) -> Column:
 def shape_stats(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Bias-corrected skewness and kurtosis, variation, zero and negative counts."""
     columns = list(columns or numeric_columns(df))
-    stats = long_form(df, columns).groupBy("column").agg(
-        F.count("value").cast("double").alias("n"),
-        F.skewness("value").alias("g1"),
-        F.kurtosis("value").alias("g2"),
-        F.try_divide(F.stddev_samp("value"), F.avg("value")).alias("cv"),
-        F.count_if(F.col("value") == 0).alias("n_zero"),
-        F.count_if(F.col("value") < 0).alias("n_negative"),
+    num = lambda c: F.col(c).cast("double")
+    stats = per_column(
+        df, columns,
+        {
+            "n": lambda c: F.count(c).cast("double"),
+            "g1": lambda c: F.skewness(num(c)),
+            "g2": lambda c: F.kurtosis(num(c)),
+            "cv": lambda c: F.try_divide(F.stddev_samp(num(c)), F.avg(num(c))),
+            "n_zero": lambda c: F.count_if(num(c) == 0),
+            "n_negative": lambda c: F.count_if(num(c) < 0),
+        },
     )
     return stats.select(
         "column",
@@ -89,7 +84,6 @@ def missing_summary(df: DataFrame) -> DataFrame:
     prof = per_column(
         df, df.columns,
         {"n": lambda c: F.count(F.lit(1)), "n_null": lambda c: F.count_if(F.col(c).isNull())},
-        {"n": "bigint", "n_null": "bigint"},
     )
     rate = F.round(F.try_divide(F.col("n_null") * 100, "n"), 2).alias("null_pct")
     return prof.where("n_null > 0").select("column", "n_null", rate).orderBy(F.desc("null_pct"), "column")
@@ -115,17 +109,23 @@ def outliers(df: DataFrame, columns: Sequence[str] | None = None, factor: float
     Pass one finds quartiles and moments per column; pass two counts against them.
     """
     columns = list(columns or numeric_columns(df))
-    long = long_form(df, columns).where("value IS NOT NULL")
-    moments = long.groupBy("column").agg(F.avg("value").alias("mu"), F.stddev_pop("value").alias("sigma"))
-    bounds = quartiles(df, columns).join(moments, "column")
-    iqr = F.col("q75") - F.col("q25")
-    v = F.col("value")
-    judged = long.join(F.broadcast(bounds), "column")
-    out = judged.groupBy("column").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.count_if((v < F.col("q25") - factor * iqr) | (v > F.col("q75") + factor * iqr)).alias("n_iqr"),
-        F.count_if(F.abs(F.try_divide(v - F.col("mu"), "sigma")) > z_limit).alias("n_z"),
+    num = lambda c: F.col(c).cast("double")
+    moments = per_column(
+        df, columns,
+        {"mu": lambda c: F.avg(num(c)), "sigma": lambda c: F.stddev_pop(num(c)), "n_rows": lambda c: F.count(F.lit(1))},
     )
+    found = {r["column"]: r for r in moments.collect()}
+    n_rows = max((r["n_rows"] for r in found.values()), default=0)
+    fences = iqr_bounds(df, columns, factor, n_rows)
+
+    def beyond_fence(c: str) -> Column:
+        low, high = fences[c] or (None, None)
+        return F.count_if((num(c) < F.lit(low)) | (num(c) > F.lit(high)))
+
+    def beyond_z(c: str) -> Column:
+        return F.count_if(F.abs(F.try_divide(num(c) - F.lit(found[c]["mu"]), F.lit(found[c]["sigma"]))) > z_limit)
+
+    out = per_column(df, columns, {"n": F.count, "n_iqr": beyond_fence, "n_z": beyond_z})
     return out.select(
         "column", "n", "n_iqr", F.round(F.col("n_iqr") * 100 / F.col("n"), 2).alias("iqr_pct"),
         "n_z", F.round(F.col("n_z") * 100 / F.col("n"), 2).alias("z_pct"),
@@ -170,7 +170,7 @@ def quality_checks(df: DataFrame, ts: str | None = None, file_order: Sequence[st
     medians = quantile_values(df, numeric, [0.5]) if numeric else {}
     found = []
     prof = per_column(
-        df, df.columns, {"value": lambda c: F.count_distinct(F.col(c))}, {"value": "double"}
+        df, df.columns, {"value": lambda c: F.count_distinct(F.col(c)).cast("double")}
     ).where("value <= 1")
     found.append(prof.select(F.lit("constant_column").alias("kind"), "column", F.lit("n_distinct").alias("metric"), "value"))
     dup = duplicate_rows(df).where("n_duplicates > 0")
@@ -182,7 +182,8 @@ def quality_checks(df: DataFrame, ts: str | None = None, file_order: Sequence[st
     )
     if numeric:
         extremes = per_column(
-            df, numeric, {"hi": lambda c: F.max(F.col(c)), "lo": lambda c: F.min(F.col(c))}, {"hi": "double", "lo": "double"}
+            df, numeric,
+            {"hi": lambda c: F.max(F.col(c)).cast("double"), "lo": lambda c: F.min(F.col(c)).cast("double")},
         )
         middle = F.create_map(*[F.lit(x) for c in numeric for x in (c, float(medians[c][0] or 0.0))])
         extremes = extremes.withColumn("median", middle[F.col("column")])
@@ -242,8 +243,9 @@ def confidence(rows: Column, numeric: Column, findings: Column) -> Column:
 def jarque_bera(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Normality test from distributed moments: statistic, p value and flag (p < 0.05)."""
     columns = list(columns or numeric_columns(df))
-    m = long_form(df, columns).groupBy("column").agg(
-        F.count("value").alias("n"), F.skewness("value").alias("s"), F.kurtosis("value").alias("k")
+    num = lambda c: F.col(c).cast("double")
+    m = per_column(
+        df, columns, {"n": F.count, "s": lambda c: F.skewness(num(c)), "k": lambda c: F.kurtosis(num(c))}
     )
     jb = F.col("n") / 6 * (F.pow("s", F.lit(2)) + F.pow("k", F.lit(2)) / 4)
     return m.where("n > 3").select("column", jb.alias("jb"), F.exp(-jb / 2).alias("p_value"), (F.exp(-jb / 2) < 0.05).alias("non_normal"))

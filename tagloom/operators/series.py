@@ -63,7 +63,7 @@ def change_points(
     out = None
     for c in columns:
         scores = change_scores(df, c, order_by=order_by, rows_per_chunk=rows_per_chunk)
-        limits = quantile_values(scores, ["mean_change", "std_change"], [quantile])
+        limits = quantile_values(scores, ["mean_change", "std_change"], [quantile], rows_per_chunk, df.count())
         for kind, name in (("mean", "mean_change"), ("std", "std_change")):
             limit = limits[name][0]
             if limit is None:

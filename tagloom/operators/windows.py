@@ -220,7 +220,7 @@ def resample(
     ends = bins.groupBy(*keys).agg(micros(F.min("bin")).alias("a"), micros(F.max("bin")).alias("b"))
     # long spans are first cut into blocks of bins, so that no row explodes into more than 10k
     wide = step * 10_000
-    blocks = ends.withColumn("o", F.explode(F.sequence("a", "b", F.lit(wide))))
+    blocks = ends.withColumn("o", F.explode(F.sequence("a", "b", F.lit(wide)))).repartition(*keys, "o")
     upto = F.least(F.col("b"), F.col("o") + (wide - step))
     spine = blocks.select(
         *keys, F.explode(F.transform(F.sequence("o", upto, F.lit(step)), from_micros)).alias("bin")

@@ -119,7 +119,7 @@ def quantiles_by_group(t):
 )
 def quantiles_by_rank(t):
     """The form used beyond one chunk of rows: counted values picked by rank."""
-    rows = quantiles.quantiles(t.events, ["value"], [0.05, 0.5, 0.95], by=["event_type"], rows_per_chunk=800)
+    rows = quantiles.quantiles(t.events, ["value"], [0.05, 0.5, 0.95], by=["event_type"], rows_per_chunk=300)
     return rounded(rows.drop("column"), "value")
 
 

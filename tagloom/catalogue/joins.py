@@ -69,10 +69,16 @@ def asof_backward_by_unit(t):
     return _asof(t, ["user_id"])
 
 
-@query("asof_backward_chunked", ASOF.format(on="l.user_id = r.user_id AND"))
+@query("asof_backward_chunked", ASOF.format(on=""))
 def asof_backward_chunked(t):
     """The form used beyond one chunk of rows."""
-    return _asof(t, ["user_id"], rows_per_chunk=700)
+    return _asof(t, [], rows_per_chunk=700)
+
+
+@query("asof_backward_hot_unit", ASOF.format(on="l.user_id = r.user_id AND"))
+def asof_backward_hot_unit(t):
+    """The form used when one unit alone exceeds the bound of a task."""
+    return _asof(t, ["user_id"], rows_per_chunk=10)
 
 
 @query(

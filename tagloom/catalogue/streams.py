@@ -27,7 +27,7 @@ def buffer_predict(t):
 
 @query("buffer_predict_chunked", BUFFER)
 def buffer_predict_chunked(t):
-    return buffer.buffer_predict(t.events, MODEL, key="user_id", order_by=["ts", "event_id"], rows_per_chunk=900)
+    return buffer.buffer_predict(t.events, MODEL, key="user_id", order_by=["ts", "event_id"], rows_per_chunk=15)
 
 
 @query("bootstrap_interval")

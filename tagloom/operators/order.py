@@ -12,7 +12,8 @@ two ways:
 * carry: one small row per chunk is aggregated, prefix-combined and broadcast back
   (``running_sum``, ``row_index``, ``fill``).
 
-A table counted to be no larger than one chunk skips all this and runs a plain window.
+A table counted to be no larger than one chunk, or with no key larger than a few chunks,
+skips all this and runs a plain window.
 
 Cut points, carries and rows are three readings of the same input.  Operators that chain
 several ordered steps therefore ``settle`` the rows between two steps.
@@ -31,7 +32,7 @@ from tagloom.session import ROWS_PER_CHUNK, materialize, setting
 MAX_CHUNKS = 1 << 15
 _SAMPLES_PER_CHUNK = 16
 _HASH_RANGE = 1 << 40
-_BINARY_STEPS = [1 << i for i in range(MAX_CHUNKS.bit_length() - 1, -1, -1)]
+_KEY_CHUNKS = 4
 
 CHUNK = "__chunk"
 OWN = "__own"
@@ -57,10 +58,18 @@ def _partition_key(partition_by: Sequence[str]) -> Column:
     return F.struct(F.lit(0).alias("z"), *[F.col(c) for c in partition_by])
 
 
-def _position(cuts: Column, key: Column) -> Column:
-    """Number of cut points at or below ``key`` (binary search, JVM side)."""
+def _located(df: DataFrame, cuts: DataFrame, steps: Sequence[int], key: Column, name: str) -> DataFrame:
+    """Add ``name``: the number of cut points at or below ``key`` (binary search, JVM side).
+
+    The cut points are a scalar subquery used once per projection, so they stay one
+    shared value and are never copied into the rows.
+    """
+    return df.withColumn("__cuts", cuts.scalar()).withColumn(name, _position(F.col("__cuts"), key, steps)).drop("__cuts")
+
+
+def _position(cuts: Column, key: Column, steps: Sequence[int]) -> Column:
     return F.aggregate(
-        F.lit(_BINARY_STEPS),
+        F.lit(list(steps)),
         F.lit(0),
         lambda low, step: F.when(F.get(cuts, low + step - 1) <= key, low + step).otherwise(low),
     )
@@ -75,7 +84,7 @@ class Chunked:
     order_by: tuple[str, ...]
     single: bool
     cuts: DataFrame | None = None
-    rows_per_chunk: int = 0
+    steps: tuple[int, ...] = ()
 
     @property
     def window(self) -> WindowSpec:
@@ -88,6 +97,16 @@ class Chunked:
         return Window.partitionBy(CHUNK, *self.partition_by).orderBy(*backwards)
 
 
+def fits_plain_window(df: DataFrame, partition_by: Sequence[str], n_rows: int, size: int) -> bool:
+    """Whether a plain window is bounded work: the table, or else every key, is counted small."""
+    if n_rows <= size:
+        return True
+    if not partition_by:
+        return False
+    largest = df.groupBy(*partition_by).count().agg(F.max("count")).first()[0]
+    return largest <= _KEY_CHUNKS * size
+
+
 def chunk(
     df: DataFrame,
     order_by: Sequence[str],
@@ -100,7 +119,7 @@ def chunk(
     size = rows_per_chunk or setting(df.sparkSession, ROWS_PER_CHUNK)
     n = df.count() if n_rows is None else n_rows
     spec = dict(partition_by=tuple(partition_by), order_by=tuple(order_by))
-    if n <= size:
+    if fits_plain_window(df, partition_by, n, size):
         return Chunked(df.withColumn(CHUNK, F.lit(0)), single=True, **spec)
     n_chunks = min(MAX_CHUNKS, -(-n // size))
     share = min(1.0, n_chunks * _SAMPLES_PER_CHUNK / n)
@@ -111,9 +130,8 @@ def chunk(
     cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("a")).select(
         F.filter("a", lambda _, i: i % every == every - 1).alias("cuts")
     )
-    located = df.withColumn("__cuts", cuts.scalar())
-    chunked = located.withColumn(CHUNK, _position(F.col("__cuts"), key)).drop("__cuts")
-    return Chunked(chunked, single=False, cuts=cuts, rows_per_chunk=size, **spec)
+    steps = tuple(1 << i for i in reversed(range((2 * n_chunks).bit_length())))
+    return Chunked(_located(df, cuts, steps, key, CHUNK), single=False, cuts=cuts, steps=steps, **spec)
 
 
 def settle(df: DataFrame, n_rows: int, rows_per_chunk: int | None = None) -> DataFrame:
@@ -197,9 +215,9 @@ def over_rows(
     """
     size = rows_per_chunk or setting(df.sparkSession, ROWS_PER_CHUNK)
     n = df.count() if n_rows is None else n_rows
-    if n <= size:
-        ch = chunk(df, order_by, partition_by, size, n)
-        return ch.df.select(*df.columns, *build(ch.window))
+    if fits_plain_window(df, partition_by, n, size):
+        window = Window.partitionBy(*(partition_by or [F.lit(0)])).orderBy(*order_by)
+        return df.select(*df.columns, *build(window))
     block = max(size, 4 * max(before, after))
     order = [*partition_by, *order_by]
     indexed = row_index(df, "__i", order_by=order, rows_per_chunk=size, n_rows=n)
@@ -242,16 +260,13 @@ def over_time(
     window = Window.partitionBy(CHUNK, *partition_by).orderBy("__us")
     if ch.single:
         return ch.df.select(*df.columns, *build(window))
-    cuts = F.col("__cuts")
     nothing = [F.lit(None).cast(timed.schema[c].dataType) for c in tie]
-    low = _position(cuts, _key(partition_by, [F.col("__us") - after_us, *nothing]))
-    high = _position(cuts, _key(partition_by, [F.col("__us") + (before_us + 1), *nothing]))
-    spread = (
-        ch.df.withColumnRenamed(CHUNK, "__home")
-        .withColumn("__cuts", ch.cuts.scalar())
-        .withColumn(CHUNK, F.explode(F.sequence(low, high)))
-        .withColumn(OWN, F.col(CHUNK) == F.col("__home"))
-    )
+    low = _key(partition_by, [F.col("__us") - after_us, *nothing])
+    high = _key(partition_by, [F.col("__us") + (before_us + 1), *nothing])
+    placed = _located(ch.df.withColumnRenamed(CHUNK, "__home"), ch.cuts, ch.steps, low, "__low")
+    placed = _located(placed, ch.cuts, ch.steps, high, "__high")
+    spread = placed.withColumn(CHUNK, F.explode(F.sequence("__low", "__high")))
+    spread = spread.withColumn(OWN, F.col(CHUNK) == F.col("__home"))
     return spread.select(*df.columns, *build(window), OWN).where(OWN).drop(OWN)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -116,7 +117,7 @@ def interpolate(
     back = order._fill(ch, points, "forward")
     back = back.select(*indexed.columns, order.CHUNK, *[F.col(f"__f_{c}").alias(f"__prev_{c}") for c in columns])
     back = order.settle(back, n, rows_per_chunk)
-    both = order._fill(order.Chunked(back, ch.partition_by, ch.order_by, ch.single), points, "backward")
+    both = order._fill(replace(ch, df=back), points, "backward")
 
     def value(c: str) -> Column:
         prev, nxt = F.col(f"__prev_{c}"), F.col(f"__f_{c}")

@@ -155,9 +155,15 @@ def state_findings(df: DataFrame, columns: Sequence[str], key: Sequence[str]) ->
     ]
 
 
-def basic_findings(df: DataFrame, ts: str, order_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Findings of the eleven basic analyses that record any."""
-    data = df.select(*dict.fromkeys([ts, *order_by, *columns, *text_columns(df)]))
+def basic_findings(
+    df: DataFrame, ts: str, order_by: Sequence[str], columns: Sequence[str], file_order: Sequence[str] = ()
+) -> DataFrame:
+    """Findings of the eleven basic analyses that record any.
+
+    ``file_order`` is the order rows arrived in, if a column holds it: time that runs
+    backwards can only be seen along it.
+    """
+    data = df.select(*dict.fromkeys([ts, *order_by, *file_order, *columns, *text_columns(df)]))
     frames = [
         shape_findings(quality.shape_stats(data, columns)),
         missing_findings(quality.missing_summary(data)),
@@ -166,7 +172,7 @@ def basic_findings(df: DataFrame, ts: str, order_by: Sequence[str], columns: Seq
         correlation_findings(relate.high_corr_pairs(data, columns)),
         normality_findings(quality.jarque_bera(data, columns)),
         category_findings(aggregates.categorical_summary(data, text_columns(data))) if text_columns(data) else None,
-        quality_findings(quality.quality_checks(data.drop(*[c for c in order_by if c != ts and c not in columns]))),
+        quality_findings(quality.quality_checks(data, ts, file_order or order_by)),
         cluster_finding(data),
         anomaly_finding(data, columns, [c for c in order_by if c != ts] or [ts]),
     ]
@@ -205,17 +211,17 @@ def integrated_report(df: DataFrame, basic: DataFrame, advanced: DataFrame) -> D
 
     ``basic`` and ``advanced`` are finding tables; a few hundred rows at most.
     """
-    everything = findings.with_priority(basic.select("message").unionByName(advanced.select("message")))
-    n_of = lambda cond: F.count_if(cond)
-    counts = everything.agg(
+    own = basic.select("message", F.lit(True).alias("own")).unionByName(advanced.select("message", F.lit(False).alias("own")))
+    tagged = findings.with_priority(own)
+    mine = lambda word: F.count_if(F.col("own") & F.col("message").contains(word))
+    counts = tagged.agg(
         F.count(F.lit(1)).alias("n_findings"),
-        *[n_of(F.col("priority") == p).alias(f"n_{p}") for p in ("high", "medium", "low", "other")],
-    ).first()
-    own = basic.agg(
-        n_of(F.col("message").contains("品質問題")).alias("q"), n_of(F.col("message").contains("外れ値")).alias("o")
+        *[F.count_if(F.col("priority") == p).alias(f"n_{p}") for p in ("high", "medium", "low", "other")],
+        mine("品質問題").alias("quality"),
+        mine("外れ値").alias("outlier"),
     ).first()
     n_numeric = len(numeric_columns(df))
-    scored = quality.quality_score(df, own["q"], own["o"]).withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar())
+    scored = quality.quality_score(df, counts["quality"], counts["outlier"]).withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar())
     return scored.select(
         "n_rows",
         F.lit(len(df.columns)).cast("bigint").alias("n_columns"),

@@ -50,13 +50,21 @@ def learning_rates(t):
     return rounded(linear.compare_learning_rates(_line(t), ["x"], "y"), "loss")
 
 
-@query("noise_scenarios")
+@query(
+    "noise_scenarios",
+    f"""WITH RECURSIVE {LINE}, p AS (SELECT s, x, 2 * x + 1 + (y - 2 * x - 1) * s AS y FROM l, (SELECT CAST(unnest([0.1, 0.5, 1.0]) AS DOUBLE) AS s)),
+      m AS (SELECT s, avg(x) AS mx, avg(y) AS my, avg(x * x) AS mxx, avg(x * y) AS mxy, avg(y * y) AS myy FROM p GROUP BY s),
+      g(s, epoch, w, b) AS (SELECT s, 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) FROM m UNION ALL
+        SELECT g.s, epoch + 1, w - 0.1 * 2 * (w * mxx + b * mx - mxy), b - 0.1 * 2 * (w * mx + b - my) FROM g JOIN m USING (s) WHERE epoch < 100)
+      SELECT CAST(s AS VARCHAR) AS scenario, {r('w')} AS w, {r('b')} AS b, {r(_LOSS)} AS loss FROM g JOIN m USING (s) WHERE epoch = 100""",
+)
 def noise_scenarios(t):
     """The same line with the residual at one, five and ten tenths of its size."""
     df = _line(t)
     clean = 2 * F.col("x") + 1
     noisy = {str(s): df.select("x", (clean + (F.col("y") - clean) * s).alias("y")) for s in (0.1, 0.5, 1.0)}
-    return linear.compare_scenarios(noisy, ["x"], "y")
+    out = linear.compare_scenarios(noisy, ["x"], "y")
+    return rounded(out.withColumn("w", F.col("w")[0]), "w", "b", "loss")
 
 
 @query("gd_multi")

@@ -232,9 +232,28 @@ def qq_fit(t):
     return series.qq_fit(series.qq_table(t.events, "value", ["event_id"]))
 
 
-@query("periodogram")
+# The definition of the transform, one term per (frequency, value): quadratic, for the oracle only.
+DFT = f"""WITH {TAGS}, v AS (SELECT row_number() OVER (ORDER BY ts, event_id) - 1 AS j, moisture AS x FROM tags),
+  s AS (SELECT avg(x) AS m, stddev_samp(x) AS sd, count(*) AS n FROM v), z AS (SELECT j, (x - m) / sd AS z, n FROM v, s),
+  k AS (SELECT unnest(range(1, CAST((SELECT (n + 1) // 2 FROM s) AS BIGINT))) AS k)
+  SELECT {r('k / CAST(max(n) AS DOUBLE)', 9)} AS frequency, {r('max(n) / CAST(k AS DOUBLE)')} AS period,
+    {r('pow(sum(z * cos(2 * pi() * ((k * j) % n) / n)), 2) + pow(sum(z * sin(2 * pi() * ((k * j) % n) / n)), 2)', 2)} AS power FROM z, k GROUP BY k"""
+
+
+def _periodogram(t, **options):
+    table = spectrum.periodogram(t.tags, "moisture", order_by=ORDER, **options)
+    return rounded(rounded(rounded(table, "frequency", digits=9), "period"), "power", digits=2)
+
+
+@query("periodogram", DFT)
 def periodogram(t):
-    return spectrum.periodogram(t.tags, "moisture", order_by=ORDER)
+    return _periodogram(t)
+
+
+@query("periodogram_four_step", DFT)
+def periodogram_four_step(t):
+    """The form used for a series too long for one group."""
+    return _periodogram(t, group_rows=2048)
 
 
 @query(
@@ -256,7 +275,10 @@ def periodogram_power(t):
     return total.select(F.lit(n).cast("bigint").alias("n_values"), R((F.col("p") + F.col("m")) / n / n, 5).alias("mean_power"))
 
 
-@query("main_periods")
+@query(
+    "main_periods",
+    f"SELECT * FROM (SELECT * FROM ({DFT}) ORDER BY power DESC LIMIT 3) WHERE period >= 2 AND period <= (SELECT count(*) / 4.0 FROM events)",
+)
 def main_periods(t):
     n = t.tags.where("moisture IS NOT NULL").count()
-    return spectrum.main_periods(spectrum.periodogram(t.tags, "moisture", order_by=ORDER), n)
+    return spectrum.main_periods(_periodogram(t), n)

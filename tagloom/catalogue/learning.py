@@ -67,12 +67,34 @@ def noise_scenarios(t):
     return rounded(out.withColumn("w", F.col("w")[0]), "w", "b", "loss")
 
 
-@query("gd_multi")
+_Z = [f"""(t."{c}" - m{i}) / s{i} AS z{i}""" for i, c in enumerate(FEATURES)]
+_STATS = ", ".join(f"""avg("{c}") AS m{i}, stddev_pop("{c}") AS s{i}""" for i, c in enumerate(FEATURES))
+_PAIRS = [(i, j) for i in range(3) for j in range(i, 3)]
+_c = lambda i, j: f"c{min(i, j)}{max(i, j)}"
+_step = lambda i: f"2 * ({' + '.join(f'w{j} * {_c(i, j)}' for j in range(3))} + b * a{i} - y{i})"
+_GRAM = ", ".join(
+    [f"avg(z{i} * z{j}) AS {_c(i, j)}" for i, j in _PAIRS]
+    + [f"avg(z{i}) AS a{i}, avg(z{i} * y) AS y{i}" for i in range(3)]
+    + ["avg(y) AS my, avg(y * y) AS myy"]
+)
+_QUADRATIC = " + ".join(f"{1 if i == j else 2} * w{i} * w{j} * {_c(i, j)}" for i, j in _PAIRS)
+
+
+@query(
+    "gd_multi",
+    f"""WITH RECURSIVE {TAGS}, s AS (SELECT {_STATS} FROM tags), z AS (SELECT {", ".join(_Z)}, moisture AS y FROM tags t, s),
+      m AS (SELECT {_GRAM} FROM z), g(epoch, w0, w1, w2, b) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE)
+        UNION ALL SELECT epoch + 1, {", ".join(f"w{i} - 0.1 * {_step(i)}" for i in range(3))},
+          b - 0.1 * 2 * ({" + ".join(f"w{j} * a{j}" for j in range(3))} + b - my) FROM g, m WHERE epoch < 100)
+      SELECT epoch, {", ".join(f"{r(f'w{i}')} AS w{i}" for i in range(3))}, {r('b')} AS b,
+        {r(f"myy + b * b - 2 * b * my + {_QUADRATIC} + 2 * ({' + '.join(f'w{i} * (b * a{i} - y{i})' for i in range(3))})")} AS loss FROM g, m WHERE epoch > 0""",
+)
 def gd_multi(t):
     """Descent on three standardised tags."""
-    df = t.tags
-    scaled = fit_scaler(df, FEATURES).transform(df)
-    return linear.descent_history(scaled, FEATURES, "moisture", epochs=100, learning_rate=0.1)
+    scaled = fit_scaler(t.tags, FEATURES).transform(t.tags)
+    h = linear.descent_history(scaled, FEATURES, "moisture", epochs=100, learning_rate=0.1)
+    h = h.select("epoch", *[F.col("w")[i].alias(f"w{i}") for i in range(3)], "b", "loss")
+    return rounded(h, "w0", "w1", "w2", "b", "loss")
 
 
 @query(

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 ROWS_PER_CHUNK = "tagloom.rowsPerChunk"
 BROADCAST_ROWS = "tagloom.broadcastRows"
 
-_DEFAULTS = {ROWS_PER_CHUNK: 1_000_000, BROADCAST_ROWS: 200_000}
+_DEFAULTS = {ROWS_PER_CHUNK: 500_000, BROADCAST_ROWS: 200_000}
 
 
 def configure(spark: SparkSession) -> SparkSession:

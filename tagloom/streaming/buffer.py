@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tagloom.operators import order
 from tagloom.operators.linear import RidgeFit
 
+# The process that sets up the state does not see files sent to the workers, so the
+# processor travels by value.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Status texts.
 OK = "予測成功"
 TOO_SHORT = "データが不足しています"

@@ -28,7 +28,7 @@ BANDS, ROWS = 14, 4
 SLOTS = 1 << 20
 #: Weight of the most frequent shingle against the rarest. Frequency lowers a weight but can't
 #: outweigh the text: a group of copies makes its own shingles frequent.
-FLOOR = 0.6
+FLOOR = 0.8
 #: Buckets up to this many nodes compare all pairs.
 SMALL = 16
 _TABLE, _CHUNK = 1 << 16, 1 << 14

@@ -63,7 +63,7 @@ def test_hub_with_spokes_that_are_not_similar_to_each_other(spark):
     for i in range(60):
         w = list(base)
         at = draw.randrange(0, 183)
-        w[at : at + 15] = [f"x{i}_{k}" for k in range(15)]
+        w[at : at + 12] = [f"x{i}_{k}" for k in range(12)]
         rows.append((i if i < 30 else 1000 + i, " ".join(w)))
     got = by_id(near.classes(spark.createDataFrame(rows, "doc_id long, text string")))
     assert np.mean([r["class_id"] == 0 for r in got.values()]) > 0.95

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import chars_in_words, text_of, words_of
+from tagloom.llm.common import table, text_of
 
 WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
@@ -15,9 +15,8 @@ RANGES = 65536
 
 def quality_weight(text: Column) -> Column:
     """Between 0.5 and 1: the share of a text's characters that are no symbols."""
-    chars = chars_in_words(text)
-    plain = F.length(F.translate(text, " \t\n\x0b\f\r#*$%&|<>", ""))
-    return F.lit(0.5) + F.lit(0.5) * plain / F.greatest(chars, F.lit(1))
+    symbols = F.regexp_count(text, F.lit("[#*$%&|<>]"))
+    return F.lit(1.0) - F.lit(0.5) * symbols / F.greatest(F.length(text), F.lit(1))
 
 
 def exponential_key(doc_id: Column, weight: Column) -> Column:
@@ -50,8 +49,10 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return df.select("m_none", "m_source", "m_total", F.round(target, 6).alias("m_target"))
 
 
-def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` as the struct ``row`` with size, source_size, target and taken.
+def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
+    """Rows of ``docs`` (of the columns ``keep``, all by default) as the struct ``row`` with size, source_size, target and taken.
+
+    Words are counted once; sizes and keys are written to the shared folder with the kept columns.
 
     Each source gets a word budget: complete epochs of all its rows first, then rows in key
     order until the budget is used up; the row in which it ends gives the words that are left.
@@ -61,13 +62,12 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     Null texts have size 0 and take 0, null sources are one source, last in order.  Rows that
     repeat are separate rows; with equal ids the smaller size comes first.  An empty table gives an empty one.
     """
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    df = docs.select(row.alias("row"))
-    body = text_of(F.col("row")[text])
-    df = df.select(
-        "row", F.size(words_of(body)).cast("long").alias("size"), F.col("row")[source].alias("m_source"),
-        exponential_key(F.col("row")[doc_id], quality_weight(body)).alias("m_key"), F.xxhash64(body).alias("m_tie"),
-    ).withColumns({
+    body = text_of(docs[text])
+    df = docs.select(
+        F.struct(*[docs[c] for c in keep or docs.columns]).alias("row"), F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("size"),
+        docs[source].alias("m_source"), exponential_key(docs[doc_id], quality_weight(body)).alias("m_key"), F.xxhash64(body).alias("m_tie"),
+    )
+    df = table(df).withColumns({
         "m_none": F.col("m_source").isNull(), "m_name": F.coalesce("m_source", F.lit("")),
         "m_range": F.least(F.lit(RANGES - 1), F.floor((1 - F.exp(-F.col("m_key"))) * RANGES)).cast("int"),
     })

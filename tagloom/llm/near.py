@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.llm.common import SPACES, WordHashes, mix, table, text_of, windows_of
+from tagloom.llm.common import WordHashes, mix, table, text_of, windows_of
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 14, 4
@@ -274,7 +274,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", least:
     first = table(first.groupBy("root").agg(F.min(F.struct("node", "nd_id", "n")).alias("x")).select("root", F.col("x.node").alias("nd_node"), F.col("x.nd_id").alias("nd_id"), F.col("x.n").alias("n")))
     body = text_of(F.col("row")[text])
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    blank = F.length(F.translate(body, SPACES, "")) == 0
+    blank = ~body.rlike(r"[^\x20\x09-\x0D]")
     kept = held.where(~blank).join(first, (node_of(body) == F.col("nd_node")) & F.col("row")[doc_id].eqNullSafe(F.col("nd_id")))
     if not first.where("n > 1").isEmpty():
         plain = [F.col("row")[f.name] for f in docs.schema if f.dataType.typeName() not in ("map", "variant")]

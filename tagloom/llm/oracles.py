@@ -76,7 +76,7 @@ FROM m"""
 ORACLES["op10_mix_sources"] = f"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, CAST(len({_WORDS}) AS BIGINT) AS size,
     -ln((CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12) AS BIGINT) + 0.5) / 281474976710656.0)
-      / (0.5 + 0.5 * ({_BARE} - {_SYMBOLS}) / greatest({_BARE}, 1)) AS key FROM documents),
+      / (1.0 - 0.5 * {_SYMBOLS} / greatest(length(coalesce(text, '')), 1)) AS key FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS total FROM d GROUP BY source),
 ranked AS (SELECT *, [3.0, 1.0, 2.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
 ordered AS (SELECT *, 2.0 * total / weight AS ratio, coalesce(sum(2.0 * total) OVER before, 0) AS capped,

@@ -105,9 +105,14 @@ def field(name: str) -> Column:
 
 
 def store(archive: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(payloads: address, payload; headers: address, header): payload bytes once, headers as they were."""
+    """(payloads: address, payload and its size and SHA-1; headers: address, header): payload bytes once, headers as they were.
+
+    Size and digest are computed where the bytes are read, so bytes that nobody asks for are not shuffled.
+    """
     addressed = archive.withColumn("address", F.regexp_extract("header", "sha256:([0-9a-f]+)", 1))
-    payloads = addressed.where(F.col("header").contains("WARC-Type: response")).groupBy("address").agg(F.any_value("payload").alias("payload"))
+    full = addressed.where(F.col("header").contains("WARC-Type: response")).select(
+        "address", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
+    payloads = full.groupBy("address").agg(*[F.any_value(c).alias(c) for c in full.columns[1:]])
     return payloads, addressed.select("address", "header")
 
 
@@ -125,7 +130,6 @@ def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:
     folder = folder or f"{shared_dir(spark)}/warc"
     write(records(pages), folder)
     payloads, headers = store(read(spark, folder))
-    payloads = payloads.select("address", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
     page = lambda name: F.nullif(F.regexp_extract(field(name), "<urn:page:([^>]*)>", 1), F.lit("")).cast("long")
     return restore(payloads, headers).select(
         page("WARC-Record-ID").alias("page_id"), "payload_bytes", "payload_digest", field("WARC-Type").alias("record_type"),

@@ -5,8 +5,9 @@
 2. One pass draws ``BANDS * ROWS`` consistent weighted samples per text and keeps a key per band.
    Equal texts become one node.
 3. Nodes that share a band key are candidates.  Small buckets compare all their pairs, large ones every
-   node with one leader, the node with most company.  Nodes of a large bucket that are not connected
-   to its leader then are compared with all nodes of the bucket, in blocks of signatures.
+   node with one leader, the node with most company.  Where nodes of a large bucket are not connected to its
+   leader, blocks of signatures show which could be linked to what else; those are compared text by
+   text, again in blocks, so that no list of pairs is made.
 4. A pair whose signatures agree in too few samples is dropped (at similarity 0.8 a true pair has 45 of 56 in
    the mean; fewer than ``AGREE`` has a probability of about 1 in 10,000).  Weighted Jaccard similarity of
    the whole texts decides the others; connected nodes are a class.
@@ -194,33 +195,76 @@ def _stars(large: DataFrame, leaders: DataFrame) -> DataFrame:
     return large.join(leaders, "bucket").where("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"), F.col("signature").alias("sa"), "sb")
 
 
-def _rest(large: DataFrame, leaders: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of nodes in different components, one of which is not connected to the leader of a bucket that both are in."""
-    rooted = large.select("bucket", "node", "signature", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    of_leader = leaders.select("bucket", F.col("leader").alias("node")).join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("home"))
-    member = table(rooted.join(of_leader, "bucket").withColumn("apart", F.col("root") != F.col("home")))
-    open_ = member.where("apart").select("bucket").distinct()
+def spanning(linked: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """Links (row, column) that join different labels, as few as connect the same; ``labels`` of the rows, then of the columns."""
+    labels, n, out = labels.copy(), len(linked), []
+    for k in range(n):
+        hit = np.flatnonzero(linked[k])
+        found, first = np.unique(labels[n + hit], return_index=True)
+        new = found != labels[k]
+        out += [(k, int(j)) for j in hit[first[new]]]
+        if new.any():
+            labels[np.isin(labels, found[new])] = labels[k]
+    return out
+
+
+def _block_links(groups: DataFrame, column: str, compare) -> DataFrame:
+    """(a, b): links that ``compare(values, values)``, a Boolean matrix, finds in each group between nodes of different roots.
+
+    ``groups``: (group, n, apart, node, root, value).  A group is cut into blocks of about BLOCK nodes, and pairs of
+    blocks are compared, at least one of which has nodes that are ``apart``.
+    """
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / BLOCK))
-    blocks = member.join(open_, "bucket").groupBy("bucket", "apart", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "root", "signature")).alias("x"))
-    blocks = table(blocks)
-    one = blocks.where("apart").select("bucket", F.col("chunk").alias("c"), F.col("x").alias("xa"))
-    other = blocks.select("bucket", "apart", F.col("chunk").alias("d"), F.col("x").alias("xb"))
-    paired = one.join(other, "bucket").where("NOT apart OR c <= d").select("xa", "xb")
+    blocks = table(groups.groupBy("group", "apart", chunk.alias("chunk")).agg(F.collect_list(F.struct("node", "root", F.col(column).alias("value"))).alias("x")))
+    one = blocks.where("apart").select("group", F.col("chunk").alias("c"), F.col("x").alias("xa"))
+    other = blocks.select("group", "apart", F.col("chunk").alias("d"), F.col("x").alias("xb"))
+    paired = one.join(other, "group").where("NOT apart OR c <= d").select("xa", "xb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = lambda x: (np.array([r["node"] for r in x], object), np.array([r["root"] for r in x], object), np.frombuffer(b"".join(r["signature"] for r in x), np.uint16).reshape(-1, BANDS * ROWS))
         for batch in batches:
             for i in range(batch.num_rows):
-                (na, ra, sa), (nb, rb, sb) = fields(batch.column("xa")[i].as_py()), fields(batch.column("xb")[i].as_py())
-                out = []
-                for k in range(len(na)):
-                    hit = np.flatnonzero((sb == sa[k]).sum(1) >= AGREE)
-                    out += [(min(na[k], nb[j]), max(na[k], nb[j])) for j in hit[rb[hit] != ra[k]]]
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.binary()), pa.array([y for _, y in out], pa.binary())], ["a", "b"])
+                x, y = batch.column("xa")[i].as_py(), batch.column("xb")[i].as_py()
+                roots = np.unique([r["root"].hex() for r in (*x, *y)], return_inverse=True)[1]
+                out = spanning(compare([r["value"] for r in x], [r["value"] for r in y]), roots)
+                yield pa.RecordBatch.from_arrays([pa.array([x[k]["node"] for k, _ in out], pa.binary()), pa.array([y[j]["node"] for _, j in out], pa.binary())], ["a", "b"])
 
     return paired.mapInArrow(run, "a binary, b binary").distinct()
 
 
+def agreement(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    x, y = (np.frombuffer(b"".join(v), np.uint16).reshape(-1, BANDS * ROWS) for v in (a, b))
+    return np.stack([(y == row).sum(1) >= AGREE for row in x])
+
+
+def similar(a: list[str], b: list[str], weights: np.ndarray, least: float, cache: WordHashes) -> np.ndarray:
+    """Which texts of ``a`` and ``b`` have a weighted Jaccard similarity of at least ``least``.
+
+    The k-th occurrence of a shingle is an element of its own, so the sum of smaller weights is a product of matrices.
+    """
+
+    def elements(texts: list[str]):
+        found = [np.sort(shingles(t, cache)) for t in texts]
+        owner, h = np.repeat(np.arange(len(texts)), [len(f) for f in found]), np.concatenate(found)
+        new = np.concatenate([[True], (h[1:] != h[:-1]) | (owner[1:] != owner[:-1])]) if len(h) else np.zeros(0, bool)
+        place = np.arange(len(h))
+        number = place - np.maximum.accumulate(np.where(new, place, 0)) if len(h) else place
+        w = weights[(h & np.uint64(len(weights) - 1)).astype(np.int64)].astype(np.float64)
+        return mix(h + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), owner, w, np.bincount(owner, w, len(texts))
+
+    (ea, oa, wa, ta), (eb, ob, _, tb) = elements(a), elements(b)
+    shared = np.intersect1d(ea, eb)
+    both = np.zeros((len(a), len(b)))
+    for k in range(0, len(shared), 4096):
+        part = shared[k : k + 4096]
+        x, y = np.zeros((len(a), len(part))), np.zeros((len(b), len(part)))
+        for m, e, o, w in ((x, ea, oa, wa), (y, eb, ob, None)):
+            at = np.minimum(np.searchsorted(part, e), len(part) - 1)
+            hit = part[at] == e
+            m[o[hit], at[hit]] = 1.0 if w is None else w[hit]
+        both += x @ y.T
+    return both >= least * (ta[:, None] + tb[None, :] - both) - 1e-9
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> DataFrame:
     """(a, b) of the pairs whose weighted Jaccard similarity is at least ``least``."""
 
@@ -274,13 +318,25 @@ def grouped(docs: DataFrame, nodes: DataFrame, weights, text: str = "text", leas
     member = _buckets(nodes)
     large = member.where(F.col("n") > SMALL)
     leaders = table(_leaders(large))
-    pairs = _agreeing(_all_pairs(member.where(F.col("n") <= SMALL)).select("a", "b", "sa", "sb").unionByName(_stars(large, leaders)))
-    edges = verified(pairs)
+    edges = verified(_agreeing(_all_pairs(member.where(F.col("n") <= SMALL)).select("a", "b", "sa", "sb").unionByName(_stars(large, leaders))))
     roots = components(edges)
-    rest = table(_rest(large, leaders, roots))
-    if rest.isEmpty():
+
+    of_leader = leaders.select("bucket", F.col("leader").alias("node")).join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("home"))
+    rooted = large.select(F.col("bucket"), "node", "signature", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rooted = table(rooted.join(of_leader, "bucket").withColumn("apart", F.col("root") != F.col("home")))
+    open_ = rooted.join(rooted.where("apart").select("bucket").distinct(), "bucket").withColumnRenamed("bucket", "group")
+    possible = table(_block_links(open_, "signature", agreement))
+    if possible.isEmpty():
         return roots
-    return components(edges.unionByName(verified(rest)))
+    together = components(possible).withColumnRenamed("root", "group")
+    sizes = together.groupBy("group").agg(F.count("*").alias("n"))
+    group = table(together.join(sizes, "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    texts_of = group.withColumn("apart", F.lit(True)).join(texts, "node").groupBy("group", "n", "apart", "node", "root").agg(F.min("text").alias("text"))
+
+    def compare(a: list[str], b: list[str]) -> np.ndarray:
+        return similar(a, b, weights.value, least, WordHashes())
+
+    return components(edges.unionByName(_block_links(texts_of, "text", compare)))
 
 
 def _assigned(docs: DataFrame, text: str, doc_id: str, least: float) -> tuple[DataFrame, DataFrame]:

@@ -69,6 +69,31 @@ def test_hub_with_spokes_that_are_not_similar_to_each_other(spark):
     assert np.mean([r["class_id"] == 0 for r in got.values()]) > 0.95
 
 
+def test_blocks_compare_like_pairs():
+    weights, cache = np.random.default_rng(0).uniform(0.5, 1, near.SLOTS).astype(np.float32), WordHashes()
+    texts = [t for k in range(3) for _, t in family(k, 12, 80, 8, 0)] + ["", "one", "a a a a a a a a a b", "a a a a a a a a a"]
+    sets = [near.weighted(t, cache, weights) for t in texts]
+    want = np.array([[len(x[0]) > 0 and near.similarity(x, y) >= 0.5 for y in sets] for x in sets])
+    got = near.similar(texts, texts, weights, 0.5, cache)
+    got[36], got[:, 36] = False, False  # a text without words never gets here
+    assert (got == want).all() and want.sum() > len(texts)
+
+
+def test_spanning_links():
+    links = np.array([[1, 1, 0], [0, 1, 1], [0, 0, 1]], bool)
+    assert len(near.spanning(links, np.arange(6))) == 5 and near.spanning(links, np.zeros(6, int)) == []
+
+
+def test_dense_group_without_a_hub(spark):
+    """A chain of texts: each is similar to its neighbours only."""
+    words = [f"w{i}" for i in range(900)]
+    rows = [(i, " ".join(words[8 * i : 8 * i + 160])) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_classes(rows, near.document_frequencies(docs))
+    got = {d: r["class_id"] for d, r in by_id(near.classes(docs)).items()}
+    assert np.mean([got[d] == want[d] for d in want]) > 0.97
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40) if i % 10 != 9] + [(100, k) for k in range(101, 160)]
     df = spark.createDataFrame([(bytes([a]), bytes([b])) for a, b in edges], "a binary, b binary")

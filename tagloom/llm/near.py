@@ -281,7 +281,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, weights, least: float) -> Data
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
+    return pairs.hint("merge").join(right, "b").join(left.hint("merge"), "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -312,7 +312,7 @@ def grouped(docs: DataFrame, nodes: DataFrame, weights, text: str = "text", leas
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = table(pairs)
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        once = table(texts.join(wanted, "node").groupBy("node").agg(F.min("text").alias("text")))
+        once = table(texts.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min("text").alias("text")))
         return table(_verified(pairs, once, weights, least))
 
     member = _buckets(nodes)
@@ -331,7 +331,7 @@ def grouped(docs: DataFrame, nodes: DataFrame, weights, text: str = "text", leas
     together = components(possible).withColumnRenamed("root", "group")
     sizes = together.groupBy("group").agg(F.count("*").alias("n"))
     group = table(together.join(sizes, "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    texts_of = group.withColumn("apart", F.lit(True)).join(texts, "node").groupBy("group", "n", "apart", "node", "root").agg(F.min("text").alias("text"))
+    texts_of = group.hint("merge").withColumn("apart", F.lit(True)).join(texts, "node").groupBy("group", "n", "apart", "node", "root").agg(F.min("text").alias("text"))
 
     def compare(a: list[str], b: list[str]) -> np.ndarray:
         return similar(a, b, weights.value, least, WordHashes())

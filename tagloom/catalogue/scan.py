@@ -136,6 +136,12 @@ def numeric_text_columns(t):
     return t.spark.createDataFrame([(c,) for c in scalars.numeric_text_columns(df)], "column string")
 
 
+@query("detect_timestamps_leading_nulls", "SELECT event_id, CASE WHEN event_id >= 200 THEN ts END AS ts_text, event_type FROM events")
+def detect_timestamps_leading_nulls(t):
+    late = F.when(F.col("event_id") >= 200, F.col("ts").cast("string"))
+    return temporal.detect_timestamps(t.events.select("event_id", late.alias("ts_text"), "event_type"))
+
+
 @query("detect_timestamps", "SELECT event_id, ts AS ts_text, event_type FROM events")
 def detect_timestamps(t):
     texts = t.events.select("event_id", F.col("ts").cast("string").alias("ts_text"), "event_type")

@@ -44,27 +44,19 @@ def from_parts(year, month, day, hour, minute) -> Column:
     return F.make_timestamp_ntz(year, month, day, hour, minute, F.lit(0))
 
 
-def detect_timestamp_columns(df: DataFrame, sample_rows: int = 100) -> list[str]:
-    """String columns whose first values parse as timestamps and whose other values do too."""
-
-    def parsable(frame: DataFrame, columns: Sequence[str]) -> list[str]:
-        if not columns:
-            return []
-        bad = lambda c: F.count_if(F.col(c).isNotNull() & F.try_to_timestamp(F.col(c)).isNull())
-        row = frame.agg(
-            *[F.struct(bad(c).alias("bad"), F.count(c).alias("n")).alias(c) for c in columns]
-        ).first()
-        return [c for c in columns if row[c]["n"] > 0 and row[c]["bad"] == 0]
-
+def detect_timestamp_columns(df: DataFrame) -> list[str]:
+    """String columns that hold values, all of which parse as timestamps; every row counts, in one aggregate."""
     texts = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    candidates = parsable(df.select(*texts).limit(sample_rows), texts) if texts else []
-    return parsable(df.select(*candidates), candidates) if candidates else []
+    if not texts:
+        return []
+    bad = lambda c: F.count_if(F.col(c).isNotNull() & F.try_to_timestamp(F.col(c)).isNull())
+    row = df.agg(*[F.struct(bad(c).alias("bad"), F.count(c).alias("n")).alias(c) for c in texts]).first()
+    return [c for c in texts if row[c]["n"] > 0 and row[c]["bad"] == 0]
 
 
-def detect_timestamps(df: DataFrame, sample_rows: int = 100) -> DataFrame:
+def detect_timestamps(df: DataFrame) -> DataFrame:
     """Convert the columns found by :func:`detect_timestamp_columns`."""
-    found = detect_timestamp_columns(df, sample_rows)
-    return df.withColumns({c: parse_or_null(F.col(c)) for c in found})
+    return df.withColumns({c: parse_or_null(F.col(c)) for c in detect_timestamp_columns(df)})
 
 
 def find_time_column(df: DataFrame) -> str:

@@ -45,9 +45,12 @@ def density(df: DataFrame, column: str, points: int = 512, bins: int = 2048) ->
 
     The bandwidth is std * n^(-1/5).  Values are first reduced to ``bins`` fine bins kept
     as (mean, count), so the kernel sum is bins x points whatever the number of rows.
+    Values without spread (none, one, or all equal) have no curve: the result is empty.
     """
     v = df.select(F.col(column).cast("double").alias("v")).where("v IS NOT NULL")
     lo, hi, n, std = v.agg(F.min("v"), F.max("v"), F.count("v"), F.stddev_samp("v")).first()
+    if not std:
+        return df.sparkSession.createDataFrame([], "i bigint, x double, density double")
     band = std * n**-0.2
     at = F.least(F.floor((F.col("v") - lo) / ((hi - lo) / bins)), F.lit(bins - 1))
     coarse = v.groupBy(at.alias("b")).agg(F.avg("v").alias("m"), F.count(F.lit(1)).alias("c"))

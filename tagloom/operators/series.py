@@ -59,8 +59,8 @@ def change_scores(
 def change_points(
     df: DataFrame, columns: Sequence[str], *, order_by: Sequence[str], quantile: float = 0.95, rows_per_chunk: int | None = None
 ) -> DataFrame:
-    """Rows whose change exceeds the column's own ``quantile`` of changes."""
-    out = None
+    """Rows whose change exceeds the column's own ``quantile`` of changes; columns without changes give none."""
+    out = df.where("1 = 0").select(*order_by, F.lit("").alias("column"), F.lit("").alias("kind"), F.lit(0.0).alias("change"))
     for c in columns:
         scores = change_scores(df, c, order_by=order_by, rows_per_chunk=rows_per_chunk)
         limits = quantile_values(scores, ["mean_change", "std_change"], [quantile], rows_per_chunk, df.count())
@@ -71,7 +71,7 @@ def change_points(
             hits = scores.where(F.col(name) > F.lit(limit)).select(
                 *order_by, F.lit(c).alias("column"), F.lit(kind).alias("kind"), F.col(name).alias("change")
             )
-            out = hits if out is None else out.unionByName(hits)
+            out = out.unionByName(hits)
     return out
 
 

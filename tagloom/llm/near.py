@@ -161,11 +161,15 @@ def _signatures(docs: DataFrame, weights, text: str, doc_id: str) -> DataFrame:
 
 
 def _buckets(nodes: DataFrame) -> DataFrame:
-    """(bucket, node, signature, n: size of the bucket, company: sizes of all buckets of the node) of buckets with several nodes."""
-    keyed = nodes.select("node", "signature", F.posexplode("keys").alias("band", "key")).select("node", "signature", F.xxhash64("band", "key").alias("bucket"))
+    """(bucket, node, first, signature, n: size of the bucket, company: sizes of all buckets of the node) of buckets with several nodes.
+
+    Signatures join the members of such buckets only, so that they don't move once per band.
+    """
+    keyed = nodes.select("node", F.posexplode("keys").alias("band", "key")).select("node", F.xxhash64("band", "key").alias("bucket"))
     sizes = keyed.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     member = table(keyed.join(sizes, "bucket"))
-    return table(member.join(member.groupBy("node").agg(F.sum("n").alias("company")), "node"))
+    company = member.groupBy("node").agg(F.sum("n").alias("company")).join(nodes.select("node", "first", "signature"), "node")
+    return table(member.join(company, "node"))
 
 
 def _agreeing(pairs: DataFrame) -> DataFrame:
@@ -304,21 +308,26 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def grouped(docs: DataFrame, nodes: DataFrame, weights, text: str = "text", least: float = SIMILARITY) -> DataFrame:
-    """(node, root) of the nodes that are linked to others."""
+def _texts_of(docs: DataFrame, member: DataFrame, text: str, doc_id: str) -> DataFrame:
+    """(node, text) of the nodes in ``member``, written once.
+
+    Only the row with the node's first id is looked for, so copies of one text meet in different tasks and are not kept.
+    """
     body = text_of(docs[text])
-    texts = docs.select(node_of(body).alias("node"), body.alias("text"))
+    texts = docs.select(node_of(body).alias("node"), docs[doc_id].alias("t_id"), body.alias("text"))
+    wanted = member.select(F.col("node").alias("w_node"), "first").distinct().hint("merge")
+    met = texts.join(wanted, (F.col("node") == F.col("w_node")) & F.col("t_id").eqNullSafe(F.col("first")))
+    return table(met.groupBy("node").agg(F.min("text").alias("text")))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = table(pairs)
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        once = table(texts.join(wanted.hint("merge"), "node").groupBy("node").agg(F.min("text").alias("text")))
-        return table(_verified(pairs, once, weights, least))
 
+def grouped(docs: DataFrame, nodes: DataFrame, weights, text: str = "text", doc_id: str = "doc_id", least: float = SIMILARITY) -> DataFrame:
+    """(node, root) of the nodes that are linked to others."""
     member = _buckets(nodes)
+    texts = _texts_of(docs, member, text, doc_id)
     large = member.where(F.col("n") > SMALL)
     leaders = table(_leaders(large))
-    edges = verified(_agreeing(_all_pairs(member.where(F.col("n") <= SMALL)).select("a", "b", "sa", "sb").unionByName(_stars(large, leaders))))
+    pairs = _all_pairs(member.where(F.col("n") <= SMALL)).select("a", "b", "sa", "sb").unionByName(_stars(large, leaders))
+    edges = table(_verified(table(_agreeing(pairs)), texts, weights, least))
     roots = components(edges)
 
     of_leader = leaders.select("bucket", F.col("leader").alias("node")).join(roots, "node", "left").select("bucket", F.coalesce("root", "node").alias("home"))
@@ -331,7 +340,7 @@ def grouped(docs: DataFrame, nodes: DataFrame, weights, text: str = "text", leas
     together = components(possible).withColumnRenamed("root", "group")
     sizes = together.groupBy("group").agg(F.count("*").alias("n"))
     group = table(together.join(sizes, "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    texts_of = group.hint("merge").withColumn("apart", F.lit(True)).join(texts, "node").groupBy("group", "n", "apart", "node", "root").agg(F.min("text").alias("text"))
+    texts_of = group.hint("merge").withColumn("apart", F.lit(True)).join(texts, "node")
 
     def compare(a: list[str], b: list[str]) -> np.ndarray:
         return similar(a, b, weights.value, least, WordHashes())
@@ -344,7 +353,7 @@ def _assigned(docs: DataFrame, text: str, doc_id: str, least: float) -> tuple[Da
     weights = docs.sparkSession.sparkContext.broadcast(document_frequencies(docs, text))
     signed = table(_signatures(docs, weights, text, doc_id))
     nodes = table(signed.where(F.size("keys") > 0).groupBy("node").agg(F.min("doc_id").alias("first"), F.any_value("keys").alias("keys"), F.any_value("signature").alias("signature")))
-    rooted = grouped(docs, nodes, weights, text, least)
+    rooted = grouped(docs, nodes, weights, text, doc_id, least)
     named = nodes.select("node", "first").join(rooted, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = named.groupBy("root").agg(F.min("first").alias("class_id"))
     return signed.select("doc_id", "node", (F.size("keys") == 0).alias("none")), table(named.join(smallest, "root").select("node", "root", "class_id"))

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import sys
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +93,9 @@ class BufferPredictor(StatefulProcessor):
 
     Rows are taken Arrow batch by Arrow batch, in time order within each, so memory does
     not grow with a busy key.  A row older than everything in a full buffer is late beyond
-    repair and answered with the status only.
+    repair and answered with the status only.  With ``resamples``, a row also gets the mean and the
+    2.5/97.5 % of the prediction over resamples of the buffer as it is at that row, drawn by key,
+    time and tie, so that answers do not depend on how rows are batched.
     """
 
     def __init__(self, model: LatestRowModel, key: str, ts: str, tie: str, length: int = 60, resamples: int = 0, seed: int = 42):
@@ -111,31 +115,35 @@ class BufferPredictor(StatefulProcessor):
     def _answer(self, key, batch: pd.DataFrame, held: list[tuple]) -> pd.DataFrame:
         """Answers for one Arrow batch; ``held`` is updated in place."""
         us = batch[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+        ties = batch[self.tie].to_numpy()
         x = batch[self.model.features].to_numpy(dtype=float)
         y = self.model.predict(x)
+        known = self.model.predict(np.array([r[2:] for r in held])).tolist() if held else []
         out = []
         for i in range(len(batch)):
-            mark = (int(us[i]), int(batch[self.tie].iloc[i]))
+            mark = (int(us[i]), int(ties[i]))
             late = len(held) >= self.length and mark < held[0][:2]
             if not late:
-                held.append((*mark, *x[i].tolist()))
-                held.sort(key=lambda r: r[:2])
-                del held[: -self.length]
+                at = bisect_right(held, mark, key=lambda r: r[:2])
+                held.insert(at, (*mark, *x[i].tolist()))
+                known.insert(at, float(y[i]))
+                del held[: -self.length], known[: -self.length]
             full = len(held) >= self.length and not late
-            out.append((batch[self.ts].iloc[i], mark[1], float(y[i]) if full else None, OK if full else TOO_SHORT))
-        table = pd.DataFrame(out, columns=[self.ts, self.tie, "prediction", "status"])
+            answer = (batch[self.ts].iloc[i], mark[1], float(y[i]) if full else None, OK if full else TOO_SHORT)
+            if self.resamples:
+                answer += self._interval(known, key, mark) if full else (None, None, None)
+            out.append(answer)
+        names = [self.ts, self.tie, "prediction", "status", *(["mean_prediction", "low", "high"] if self.resamples else [])]
+        table = pd.DataFrame(out, columns=names)
         table.insert(0, self.key, key)
-        if self.resamples:
-            low, high = self._interval(held, key) if len(held) >= self.length else (None, None)
-            table["low"], table["high"] = low, high
         return table
 
-    def _interval(self, held: list[tuple], key) -> tuple[float, float]:
-        rng = np.random.default_rng([self.seed, abs(hash(str(key))) % (1 << 32)])
-        x = np.array([r[2:] for r in held])
-        draws = self.model.predict(x[rng.integers(0, len(x), self.resamples)])
+    def _interval(self, known: list[float], key, mark: tuple[int, int]) -> tuple[float, float, float]:
+        """Mean and interval over resamples of the buffered predictions; one index is drawn per resample."""
+        rng = np.random.default_rng([self.seed, xxhash.xxh3_64_intdigest(f"{key}:{mark[0]}:{mark[1]}")])
+        draws = np.array(known)[rng.integers(0, len(known), self.resamples)]
         low, high = np.percentile(draws, [2.5, 97.5])
-        return float(low), float(high)
+        return float(draws.mean()), float(low), float(high)
 
     def close(self) -> None:
         pass
@@ -148,7 +156,7 @@ def stream_buffer(
     kind = lambda c: stream.schema[c].dataType.simpleString()
     schema = f"{key} {kind(key)}, {ts} {kind(ts)}, {tie} bigint, prediction double, status string"
     if resamples:
-        schema += ", low double, high double"
+        schema += ", mean_prediction double, low double, high double"
     return stream.groupBy(key).transformWithStateInPandas(
         statefulProcessor=BufferPredictor(model, key, ts, tie, length, resamples),
         outputStructType=schema, outputMode="Append", timeMode="None",

@@ -27,6 +27,20 @@ def test_buffer_orders_evicts_and_refuses_late_rows():
     assert list(late["status"]) == [buffer.TOO_SHORT] and [r[1] for r in held] == [11, 12, 14]
 
 
+def test_interval_is_of_the_row_and_not_of_the_batch():
+    minutes, whole, parts = [3, 1, 4, 9, 5, 8, 7, 2, 6], [], []
+    p = buffer.BufferPredictor(MODEL, "user_id", "ts", "event_id", length=3, resamples=50)
+    ordered = sorted(minutes)
+    want = p._answer(7, batch(*ordered), whole)
+    got = pd.concat([p._answer(7, batch(m), parts) for m in ordered], ignore_index=True)
+    pd.testing.assert_frame_equal(want, got, check_dtype=False)
+    assert whole == parts
+    columns = ["mean_prediction", "low", "high"]
+    assert want[columns][:2].isna().all(axis=None) and want[columns][2:].notna().all(axis=None)
+    assert (want["low"][2:] <= want["mean_prediction"][2:]).all() and (want["mean_prediction"][2:] <= want["high"][2:]).all()
+    assert want["low"].nunique() > 3
+
+
 @pytest.fixture
 def stream(spark, events):
     return spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(DATA)

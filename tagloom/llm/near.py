@@ -212,7 +212,18 @@ def spanning(linked: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def _block_links(groups: DataFrame, column: str, compare) -> DataFrame:
+def between_roots(linked: np.ndarray, nodes: list, roots: list, final: bool) -> list[tuple[int, int]]:
+    """Links (row, column) between different roots; ``nodes`` and ``roots`` of the rows, then of the columns.
+
+    A final link makes two roots one, so one link for two roots is enough.  Links that are yet to be verified may fail,
+    so they must connect all nodes they concern: which of them holds is not known.
+    """
+    root = np.unique(roots, return_inverse=True)[1]
+    n = len(linked)
+    return spanning(linked & (root[:n, None] != root[None, n:]), root if final else np.unique(nodes, return_inverse=True)[1])
+
+
+def _block_links(groups: DataFrame, column: str, compare, final: bool) -> DataFrame:
     """(a, b): links that ``compare(values, values)``, a Boolean matrix, finds in each group between nodes of different roots.
 
     ``groups``: (group, n, apart, node, root, value).  A group is cut into blocks of about BLOCK nodes, and pairs of
@@ -228,8 +239,8 @@ def _block_links(groups: DataFrame, column: str, compare) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 x, y = batch.column("xa")[i].as_py(), batch.column("xb")[i].as_py()
-                roots = np.unique([r["root"].hex() for r in (*x, *y)], return_inverse=True)[1]
-                out = spanning(compare([r["value"] for r in x], [r["value"] for r in y]), roots)
+                linked = compare([r["value"] for r in x], [r["value"] for r in y])
+                out = between_roots(linked, *([r[c].hex() for r in (*x, *y)] for c in ("node", "root")), final)
                 yield pa.RecordBatch.from_arrays([pa.array([x[k]["node"] for k, _ in out], pa.binary()), pa.array([y[j]["node"] for _, j in out], pa.binary())], ["a", "b"])
 
     return paired.mapInArrow(run, "a binary, b binary").distinct()
@@ -334,18 +345,19 @@ def grouped(docs: DataFrame, nodes: DataFrame, weights, text: str = "text", doc_
     rooted = large.select(F.col("bucket"), "node", "signature", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     rooted = table(rooted.join(of_leader, "bucket").withColumn("apart", F.col("root") != F.col("home")))
     open_ = rooted.join(rooted.where("apart").select("bucket").distinct(), "bucket").withColumnRenamed("bucket", "group")
-    possible = table(_block_links(open_, "signature", agreement))
+    possible = table(_block_links(open_, "signature", agreement, final=False))
     if possible.isEmpty():
         return roots
-    together = components(possible).withColumnRenamed("root", "group")
-    sizes = together.groupBy("group").agg(F.count("*").alias("n"))
-    group = table(together.join(sizes, "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    texts_of = group.hint("merge").withColumn("apart", F.lit(True)).join(texts, "node")
+    together = components(possible).withColumnRenamed("root", "group").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    shares = together.groupBy("group", "root").agg(F.count("*").alias("share"))
+    homes = shares.groupBy("group").agg(F.sum("share").alias("n"), F.max_by("root", F.struct("share", "root")).alias("home"))
+    group = table(together.join(homes, "group").withColumn("apart", F.col("root") != F.col("home")))
+    texts_of = group.hint("merge").join(texts, "node")
 
     def compare(a: list[str], b: list[str]) -> np.ndarray:
         return similar(a, b, weights.value, least, WordHashes())
 
-    return components(edges.unionByName(_block_links(texts_of, "text", compare)))
+    return components(edges.unionByName(_block_links(texts_of, "text", compare, final=True)))
 
 
 def _assigned(docs: DataFrame, text: str, doc_id: str, least: float) -> tuple[DataFrame, DataFrame]:

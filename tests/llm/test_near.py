@@ -84,6 +84,16 @@ def test_spanning_links():
     assert len(near.spanning(links, np.arange(6))) == 5 and near.spanning(links, np.zeros(6, int)) == []
 
 
+def test_unverified_links_keep_every_node():
+    """Nodes a and b of one root may both be similar to c: the one that is must be looked at, whatever the order."""
+    links = np.array([[1], [1]], bool)
+    for order in (["a", "b"], ["b", "a"]):
+        nodes, roots = [*order, "c"], ["r", "r", "c"]
+        assert near.between_roots(links, nodes, roots, final=False) == [(0, 0), (1, 0)]
+        assert near.between_roots(links, nodes, roots, final=True) == [(0, 0)]
+    assert near.between_roots(np.ones((2, 2), bool), ["a", "b", "a", "b"], ["r"] * 4, final=False) == []
+
+
 def test_dense_group_without_a_hub(spark):
     """A chain of texts: each is similar to its neighbours only."""
     words = [f"w{i}" for i in range(900)]

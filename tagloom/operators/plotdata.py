@@ -92,5 +92,5 @@ def downsample(df: DataFrame, columns: Sequence[str], ts: str = "ts", seconds: i
 
 
 def scatter_matrix(df: DataFrame, columns: Sequence[str], key: Sequence[str], n: int = 5000) -> DataFrame:
-    """Complete sampled rows of up to four columns."""
-    return sample_rows(df.dropna(subset=list(columns[:4])), n, key).select(*key, *columns[:4])
+    """Complete sampled rows of all given columns."""
+    return sample_rows(df.dropna(subset=list(columns)), n, key).select(*key, *columns)

@@ -68,6 +68,8 @@ def write(record: DataFrame, folder: str, compression: str = "gzip") -> None:
 
 
 _LENGTH = re.compile(rb"\r\nContent-Length: ([0-9]+)\r\n")
+_ADDRESS = re.compile(rb"\r\nWARC-Content-Address: sha256:([0-9a-f]{64})\r\n")
+_RESPONSE = b"\r\nWARC-Type: response\r\n"
 
 
 def split_records(data: bytes) -> Iterator[tuple[bytes, bytes]]:
@@ -91,7 +93,10 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
                 data = content.as_py()
                 rows = list(split_records(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data))
                 for header, payload in rows:
-                    if b"WARC-Type: response" in header and hashlib.sha256(payload).hexdigest().encode() not in header:
+                    address = _ADDRESS.search(header)
+                    if not address:
+                        raise ValueError("record misses its content address")
+                    if _RESPONSE in header and hashlib.sha256(payload).hexdigest().encode() != address[1]:
                         raise ValueError("payload misses its digest")
                 yield pa.RecordBatch.from_arrays([pa.array([h.decode() for h, _ in rows], pa.string()), pa.array([p for _, p in rows], pa.binary())], ["header", "payload"])
 
@@ -109,16 +114,18 @@ def store(archive: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     Size and digest are computed where the bytes are read, so bytes that nobody asks for are not shuffled.
     """
-    addressed = archive.withColumn("address", F.regexp_extract("header", "sha256:([0-9a-f]+)", 1))
-    full = addressed.where(F.col("header").contains("WARC-Type: response")).select(
+    addressed = archive.withColumn("address", F.regexp_extract(field("WARC-Content-Address"), "^sha256:([0-9a-f]+)$", 1))
+    full = addressed.where(field("WARC-Type") == "response").select(
         "address", "payload", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_of_hex(F.sha1("payload")).alias("payload_digest"))
     payloads = full.groupBy("address").agg(*[F.any_value(c).alias(c) for c in full.columns[1:]])
     return payloads, addressed.select("address", "header")
 
 
 def restore(payloads: DataFrame, headers: DataFrame) -> DataFrame:
-    """Every record with its full payload: address, header, payload."""
-    return headers.join(payloads, "address")
+    """Every record with its full payload: address, header, payload.  A header without a payload fails."""
+    joined = headers.join(payloads.withColumn("w_stored", F.lit(True)), "address", "left")
+    lost = F.raise_error(F.concat(F.lit("no payload of "), F.coalesce("address", F.lit("a record without an address"))))
+    return joined.where(F.coalesce("w_stored", lost.cast("boolean"))).drop("w_stored")
 
 
 def archive(pages: DataFrame, folder: str | None = None) -> DataFrame:

@@ -119,6 +119,22 @@ def test_archive_round_trip(spark):
     assert warc.archive(pages.where("1 = 0")).count() == 0
 
 
+def test_urls_that_look_like_header_fields(spark):
+    url = "http://registry/image@sha256:deadbeef?WARC-Type: response"
+    rows = [(9, url, "one"), (1, "http://x/1", "one"), (2, url, "one"), (8, url, "other"), (3, "http://x/3", "other"), (4, url, "alone")]
+    got = {r["page_id"]: (r["record_type"], bytes(r["payload"]).decode(), r["payload_bytes"]) for r in warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: ("response" if i in (9, 8, 4) else "revisit", html, len(html)) for i, _, html in rows}
+
+
+def test_header_without_payload_fails(spark):
+    pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef")], "page_id long, url string, html string")
+    payloads, headers = warc.store(warc.records(pages).selectExpr("header", "cast(payload AS binary) AS payload"))
+    assert warc.restore(payloads, headers).count() == 3
+    for restored in (warc.restore(payloads.where("payload_bytes > 3"), headers), warc.restore(payloads, headers.unionByName(headers.selectExpr("cast(NULL AS string) AS address", "header")))):
+        with pytest.raises(Exception, match="no payload of"):
+            restored.count()
+
+
 def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     kinds = sorted(r["header"].split("\r\n")[1] for r in warc.records(pages, least_bytes=5).collect())

@@ -100,5 +100,17 @@ def test_odd_tables(scan, odd_docs, no_docs):
     assert got.where("doc_id IS NULL").count() == 2 and scan(no_docs).count() == 0
 
 
+def test_long_secrets_are_whole():
+    jwt = "eyJ" + "h" * 500 + ".eyJ" + "p" * 4100 + "." + "s" * 700
+    login = "://x-access-token:github_pat_" + "a" * 82 + "@"
+    user = "://" + "u" * 300 + ":" + "p" * 300 + "@"
+    texts = [f"x {jwt} y", f"https{login}github.com", f"ftp{user}host", f"eyJ{'a' * 9} eyJ.eyJ{'b' * 9}.{jwt}"]
+    wanted = [("jwt", 2, 2 + len(jwt)), ("url_login", 5, 5 + len(login)), ("url_login", 3, 3 + len(user)), ("jwt", 17, 17 + 12 + 1 + 503 + 1 + 4103)]
+    for spans, want in zip(secret_scan.find_spans(texts), wanted, strict=True):
+        assert want in [(s["kind"], s["start"], s["end"]) for s in spans]
+    hard = ["eyJ" * 60_000, "eyJaaaaaaaaa." * 20_000, "://a:" * 40_000, "://" + "u" * 200_000]
+    assert all(s["kind"] == "jwt" for spans in secret_scan.find_spans(hard) for s in spans)
+
+
 def test_alphabet_of_local_parts():
     assert set(string.ascii_letters + string.digits + "._%+-") == set(pii._LOCAL)

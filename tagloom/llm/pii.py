@@ -43,9 +43,16 @@ _DIGIT = re.compile(r"[0-9]")
 _EXTRA = {
     "local_phone": re.compile(r"(?<![0-9+(.-])(?:\([0-9]{3,4}\)\x20?|[0-9]{3,4}[\x20.-])[0-9]{3}[\x20.-][0-9]{3,4}(?![0-9.-])"),
     "national_id": re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
-    "iban": re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])"),
 }
-_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(FIRST_NAMES)) + r")\x20[A-Z][a-z]{2,20}(?!\w)")
+_IBAN_START = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Characters of an IBAN without spaces, in the countries that have the shortest and by the standard.
+_IBAN_LEAST, _IBAN_MOST = 15, 34
+#: Letters of all scripts with case; accents may follow their letter as characters of their own.
+_UPPER = "".join(c for c in map(chr, range(0x10000)) if c.isupper() and c.isalpha())
+_LOWER = "".join(c for c in map(chr, range(0x10000)) if c.islower() and c.isalpha())
+_ACCENTS = "\u0300-\u036f"
+_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(FIRST_NAMES)) + rf")\x20[{_UPPER}][{_ACCENTS}]*[{_LOWER}](?:[{_ACCENTS}]*[{_LOWER}]){{1,19}}[{_ACCENTS}]*(?!\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -85,6 +92,28 @@ def addresses(text: str) -> Iterator[tuple[int, int]]:
             start = end + 1
 
 
+def ibans(text: str) -> Iterator[tuple[int, int]]:
+    """From each country code and check digits, the longest span with a valid checksum, else the longest span.
+
+    A word in capitals or another IBAN may follow, so that the longest span can hold more than the IBAN.  A span
+    without a valid checksum ends where one with a valid checksum begins.
+    """
+    found: list[tuple[int, int, bool]] = []
+    for start in (m.start() for m in _IBAN_START.finditer(text)):
+        m = _IBAN.match(text, start)
+        ends = [e for e in range(m.end(), start, -1) if e == m.end() or text[e] == " "] if m else []
+        ends = [e for e in ends if _IBAN_LEAST <= len(text[start:e].replace(" ", "")) <= _IBAN_MOST]
+        end = next((e for e in ends if _iban_valid(text[start:e])), None)
+        if found and start < found[-1][1]:
+            if end is None or found[-1][2]:
+                continue
+            found[-1] = (found[-1][0], start - 1, False)
+        if ends:
+            found.append((start, end or ends[0], end is not None))
+    for start, end, _ in found:
+        yield start, end
+
+
 def candidates(text: str) -> list[tuple[int, int, int]]:
     """(kind, start, end); the first four kinds are exactly the base rules."""
     out = []
@@ -99,6 +128,7 @@ def candidates(text: str) -> list[tuple[int, int, int]]:
         if "+" in text:
             out += [(3, *m.span()) for m in _PHONE.finditer(text) if 9 <= len(_only_digits(m[0])) <= 15]
         out += [(KINDS.index(k), *m.span()) for k, pattern in _EXTRA.items() for m in pattern.finditer(text)]
+        out += [(KINDS.index("iban"), a, b) for a, b in ibans(text)]
     out += [(7, *m.span()) for m in _NAME.finditer(text)]
     return out
 

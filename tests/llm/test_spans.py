@@ -100,6 +100,32 @@ def test_odd_tables(scan, odd_docs, no_docs):
     assert got.where("doc_id IS NULL").count() == 2 and scan(no_docs).count() == 0
 
 
+IBANS = ["NO9386011117947", "BE68539007547034", "NL91ABNA0417164300", "AT611904300234573201", "CH9300762011623852957", "DE89370400440532013000", "GB82WEST12345698765432", "ES9121000418450200051332", "FR1420041010050500013M02606", "IT60X0542811101000000123456", "MT84MALT011000012345MTLCAST001S"]
+
+
+def found_by(kind, text):
+    return [text[a:b] for k, a, b in pii.candidates(text) if pii.KINDS[k] == kind]
+
+
+@pytest.mark.parametrize("iban", IBANS)
+def test_ibans_of_every_length(iban):
+    spaced = " ".join(iban[i : i + 4] for i in range(0, len(iban), 4))
+    for written in (iban, spaced):
+        for after in ("", ".", " is mine", " IN", " FROM", " INTERNATIONAL"):
+            text = f"the iban {written}{after}"
+            assert found_by("iban", text) == [written], text
+            assert pii.votes(text, pii.KINDS.index("iban"), 9, 9 + len(written))[0] == 1
+        assert found_by("iban", f"{written} {spaced}") == [written, spaced]
+        assert found_by("iban", f"AB12 3456 7891 {written}")[-1] == written
+    assert found_by("iban", "DE89 3704 0044 0532 0130 01") == ["DE89 3704 0044 0532 0130 01"]
+    assert found_by("iban", "AB12 3456 789") == [] and found_by("iban", "AB12 " * 20_000)
+
+
+@pytest.mark.parametrize("name", ["Hans Müller", "Juan Núñez", "Jean Élysée", "Hans Mu\u0308ller", "Anna Smith"])
+def test_surnames_beyond_ascii(name):
+    assert found_by("name", f"signed {name}, today") == [name]
+
+
 def test_long_secrets_are_whole():
     jwt = "eyJ" + "h" * 500 + ".eyJ" + "p" * 4100 + "." + "s" * 700
     login = "://x-access-token:github_pat_" + "a" * 82 + "@"

@@ -1,7 +1,11 @@
+import glob
+import os
+
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tagloom.catalogue import QUERIES
 from tagloom.streaming import buffer, enrich
 from tagloom.streaming.run import run_available
 from tests.conftest import DATA, rows
@@ -63,3 +67,20 @@ def test_closed_windows_equal_batch(spark, events, stream):
 def test_bootstrap_interval_brackets_the_mean(events):
     out = buffer.bootstrap_interval(events, MODEL, key="user_id", order_by=["ts", "event_id"], length=20)
     assert out.count() > 0 and out.where("NOT (low <= mean_prediction AND mean_prediction <= high)").count() == 0
+
+
+@pytest.fixture(scope="module")
+def part_files(spark, tmp_path_factory):
+    """The tables of DATA with events in part files that overlap in time."""
+    folder = tmp_path_factory.mktemp("parts")
+    for path in glob.glob(f"{DATA}/*.parquet"):
+        if not path.endswith("/events.parquet"):
+            os.symlink(path, folder / os.path.basename(path))
+    spark.read.parquet(f"{DATA}/events.parquet").repartition(5, "event_id").write.parquet(str(folder / "events.parquet"))
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["stream_enrich", "stream_buffer", "stream_bootstrap", "stream_tumbling"])
+def test_streams_read_tables_of_part_files(spark, part_files, name):
+    got = rows(QUERIES[name](spark, part_files))
+    assert got and got == rows(QUERIES[name](spark, DATA))

@@ -89,3 +89,29 @@ x AS (SELECT d.*, total, target, CAST(epochs AS BIGINT) AS epochs, CAST(round(ta
     coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY key, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source)
 SELECT doc_id, size, total AS source_size, target, CAST(epochs * size + greatest(0, least(size, rest - ahead)) AS BIGINT) AS taken FROM x"""
+
+
+def _vector_codes() -> str:
+    """Lloyd's rounds as one chain of common table expressions."""
+    near = """SELECT vec_id, p, e, d FROM (SELECT x.vec_id, x.p, c.e, list_sum(list_transform(range(1, len(x.v) + 1), lambda i: (x.v[i] - c.v[i]) * (x.v[i] - c.v[i]))) AS d,
+      row_number() OVER (PARTITION BY x.vec_id, x.p ORDER BY d, c.e) AS rn FROM x JOIN {book} c USING (p)) WHERE rn = 1"""
+    steps = []
+    for k in range(6):
+        steps.append(f"a{k} AS ({near.format(book=f'b{k}')})")
+        steps.append(f"""m{k} AS (SELECT p, e, list(f ORDER BY i) AS v FROM (
+          SELECT p, e, i, CAST((s - ((s % n) + n) % n) // n AS BIGINT) AS f FROM (
+            SELECT a.p, a.e, i, CAST(sum(x.v[i]) AS BIGINT) AS s, count(*) AS n FROM a{k} a JOIN x USING (vec_id, p), range(1, 9) t(i) GROUP BY ALL)) GROUP BY p, e)""")
+        steps.append(f"b{k + 1} AS (SELECT b.p, b.e, coalesce(m{k}.v, b.v) AS v FROM b{k} b LEFT JOIN m{k} USING (p, e))")
+    return f"""
+WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(4096 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+x AS (SELECT vec_id, p, v[8 * p + 1:8 * p + 8] AS v FROM kept, range(8) t(p)),
+b0 AS (SELECT p, e, v FROM x JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS e FROM kept ORDER BY vec_id LIMIT 16) USING (vec_id)),
+{", ".join(steps)}, z AS ({near.format(book="b6")}),
+coded AS (SELECT vec_id, string_agg(printf('%02x', e), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM z GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(CAST(w AS VARCHAR), ',' ORDER BY p, e, i)) FROM (SELECT p, e, i, v[i] AS w FROM b6, range(1, 9) t(i))) AS codebooks_sha256
+FROM coded JOIN kept USING (vec_id)"""
+
+
+ORACLES["op11_vector_codes"] = _vector_codes()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import decontaminate, lines, mixing, near, phrases, pii, quality, secret_scan, suffixes, warc
+from tagloom.llm import codes, decontaminate, lines, mixing, near, phrases, pii, quality, secret_scan, suffixes, warc
 from tagloom.llm.common import base_spans, count_of, joined_spans, read
 from tagloom.llm.oracles import ORACLES
 from tagloom.session import configure
@@ -15,11 +15,14 @@ from tagloom.session import configure
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: Rows of texts that go to a Python worker at once.
 BATCH_ROWS = 2000
+#: and bytes of them, from which a batch takes no further row.
+BATCH_BYTES = 64 << 20
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     configure(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return spark
 
 
@@ -105,4 +108,13 @@ def op10_mix_sources(spark, sf_dir):
     return mixing.mix(read(spark, sf_dir, "documents"), keep=["doc_id"]).select("row.doc_id", "size", "source_size", "target", "taken")
 
 
+@query
+def op11_vector_codes(spark, sf_dir):
+    """Codes of all usable vectors, their errors, and the digest of the codebooks."""
+    return codes.encode(read(spark, sf_dir, "embeddings")).select(
+        F.col("v_id").alias("vec_id"), "code", "error", "label_error",
+        F.sha2(F.array_join(F.col("codebooks").cast("array<string>"), ","), 256).alias("codebooks_sha256"),
+    )
+
+
 __all__ = ["ORACLES", "QUERIES", "prepare"]

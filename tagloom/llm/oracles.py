@@ -115,3 +115,46 @@ FROM coded JOIN kept USING (vec_id)"""
 
 
 ORACLES["op11_vector_codes"] = _vector_codes()
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of an ASCII string: eight shifts per byte."""
+    bits = f"flatten(list_transform(range(1, len({text}) + 1), lambda i: [ord(substr({text}, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1]))"
+    step = "CASE WHEN x >= 0 THEN xor(c, x) WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    return f"xor(list_reduce({bits}, lambda c, x: {step}, CAST(4294967295 AS BIGINT)), 4294967295)"
+
+
+def _plus(value: str, cost: str, letter: str) -> str:
+    """A derivation 'cost in ten digits, audit' with one more edit; such strings sort by cost, then audit."""
+    return f"(printf('%010d', CAST(substr({value}, 1, 10) AS BIGINT) + {cost}) || substr({value}, 11) || '{letter}')"
+
+
+ORACLES["op12_conversation_repair"] = f"""
+WITH RECURSIVE k AS (SELECT *, {_crc32("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),
+d AS (SELECT conv_id AS c, turn AS t, CASE WHEN k = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role, unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy,
+    CASE k WHEN 1 THEN '' WHEN 2 THEN translate(coalesce(text, ' '), '.!?', '') ELSE coalesce(text, ' ') END AS text FROM k WHERE k > 0),
+o AS (SELECT *, left(role, 1) AS ini, row_number() OVER (PARTITION BY c ORDER BY t NULLS FIRST, role, text, copy) AS i FROM d),
+f AS (SELECT *, CASE WHEN trim(text, {_SPACES}) = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN right(rtrim(text, {_SPACES}), 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    coalesce(lag(ini) OVER (PARTITION BY c ORDER BY i) || ini NOT IN ('su', 'ua', 'au'), false) AS illegal FROM o),
+s AS (SELECT c, count(*) AS n, coalesce(max(t) - min(t) + 1 - count(DISTINCT t), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM f GROUP BY c),
+w AS (SELECT c, CAST(0 AS BIGINT) AS i, '0000000000' AS b0, CAST(NULL AS VARCHAR) AS b1, CAST(NULL AS VARCHAR) AS b2, CAST(NULL AS VARCHAR) AS b3 FROM s
+  UNION ALL
+  SELECT c, i, {_plus("b0", "3", "D")}, least({_plus("b1", "3", "D")}, CASE WHEN alive AND ini = 's' THEN {_plus("b0", "x", "K")} END),
+    least({_plus("n2", "3", "D")}, CASE WHEN alive AND ini = 'u' THEN {_plus("least(b0, b1, n3)", "x", "K")} WHEN alive THEN {_plus("least(b0, b1, n3)", "x + 2", "R")} END),
+    least({_plus("n3", "3", "D")}, CASE WHEN alive AND ini = 'a' THEN {_plus("n2", "x", "K")} WHEN alive THEN {_plus("n2", "x + 2", "R")} END)
+  FROM (SELECT m.*, f.i, ini, fault NOT IN ('blank', 'duplicate') AS alive, CASE WHEN fault = 'truncated' THEN 1 ELSE 0 END AS x
+    FROM (SELECT c, i AS at, b0, b1, n2, least(b3, {_plus("n2", "2", "I")}) AS n3 FROM (SELECT *, least(b2, {_plus("least(b0, b1, b3)", "2", "I")}) AS n2 FROM w)) m
+    JOIN f ON f.c IS NOT DISTINCT FROM m.c AND f.i = m.at + 1)),
+e AS (SELECT s.*, least(b0, b3, {_plus("least(b2, " + _plus("least(b0, b1, b3)", "2", "I") + ")", "2", "I")}) AS best FROM s JOIN w ON s.c IS NOT DISTINCT FROM w.c AND s.n = w.i),
+a AS (SELECT *, CAST(substr(best, 1, 10) AS BIGINT) AS cost, substr(best, 11) AS audit FROM e),
+l AS (SELECT c, j, substr(audit, j, 1) AS l FROM (SELECT c, audit, unnest(range(1, len(audit) + 1)) AS j FROM a)),
+g AS (SELECT *, count(*) FILTER (l <> 'I') OVER (PARTITION BY c ORDER BY j) AS i, count(*) FILTER (l <> 'D') OVER (PARTITION BY c ORDER BY j) AS m FROM l),
+h AS (SELECT g.*, role, text, max(CASE WHEN m = 1 AND l = 'K' AND ini = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY g.c) AS has_s
+  FROM g LEFT JOIN f ON l <> 'I' AND f.c IS NOT DISTINCT FROM g.c AND f.i = g.i),
+r AS (SELECT c, string_agg(CASE WHEN l = 'K' THEN role ELSE CASE WHEN (m - has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END END || ':' || CASE WHEN l = 'I' THEN '' ELSE text END, chr(10) ORDER BY j) AS body
+  FROM h WHERE l <> 'D' GROUP BY c)
+SELECT q.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost, coalesce(audit, '') AS audit, sha256(coalesce(body, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) q LEFT JOIN a ON q.conv_id IS NOT DISTINCT FROM a.c LEFT JOIN r ON q.conv_id IS NOT DISTINCT FROM r.c"""

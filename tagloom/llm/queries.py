@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tagloom.llm import codes, decontaminate, lines, mixing, near, phrases, pii, quality, secret_scan, suffixes, warc
+from tagloom.llm import codes, decontaminate, language, lines, mixing, near, phrases, pii, quality, repair, secret_scan, suffixes, warc
 from tagloom.llm.common import base_spans, count_of, joined_spans, read
 from tagloom.llm.oracles import ORACLES
 from tagloom.session import configure
@@ -117,4 +117,16 @@ def op11_vector_codes(spark, sf_dir):
     )
 
 
+@query
+def op12_conversation_repair(spark, sf_dir):
+    """Faults and lightest repair of every damaged conversation."""
+    return repair.repair(read(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_language_id(spark, sf_dir):
+    """Language of every document, learned from those that are not held out."""
+    return language.identify(read(spark, sf_dir, "documents"))
+
+
 __all__ = ["ORACLES", "QUERIES", "prepare"]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tagloom.catalogue.base import EXTRACTED, MINUTES, TAGS, R, query, r, rounded
 from tagloom.operators import joins, order, periods, windows
+from tagloom.operators.spans import over_spans
 
 ORDER = ["ts", "event_id"]
 BY_TIME = "OVER (ORDER BY ts, event_id)"
@@ -119,13 +120,8 @@ def _time_rolling_sql(keys=""):
 
 def _time_rolling(t, rows_per_chunk=None):
     df = t.tags.select("event_id", "ts", "flow_rate", "pressure")
-
-    def build(w):
-        frame = w.rangeBetween(-30 * windows.MINUTE + 1, 0)
-        total = F.when(F.count("pressure").over(frame) >= 1, F.sum("pressure").over(frame))
-        return [windows.rolling_time("flow_rate", 30, "mean", w, "mean_30m"), total.alias("sum_30m")]
-
-    out = order.over_time(df, build, ts="ts", tie=["event_id"], before_us=30 * windows.MINUTE, rows_per_chunk=rows_per_chunk)
+    specs = [windows.rolling_time("flow_rate", 30, "mean", "mean_30m"), windows.rolling_time("pressure", 30, "sum", "sum_30m", 1)]
+    out = over_spans(df, specs, ts="ts", tie=["event_id"], rows_per_chunk=rows_per_chunk)
     return rounded(out.select("event_id", "mean_30m", "sum_30m"), "mean_30m", "sum_30m")
 
 

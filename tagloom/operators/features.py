@@ -11,7 +11,8 @@ from tagloom.functions import temporal
 from tagloom.functions.scalars import existing
 from tagloom.operators import order
 from tagloom.operators.quantiles import quantile_values
-from tagloom.operators.windows import MINUTE, at_offset, diff, lag, rolling, rolling_time
+from tagloom.operators.spans import over_spans
+from tagloom.operators.windows import at_offset, diff, lag, rolling, rolling_time
 
 # Equipment columns tried in turn for one-hot encoding.
 LINE_COLUMNS = ["設備タグ", "equipment", "line_id"]
@@ -188,15 +189,9 @@ def ridge_matrix(
         wide = order.settle(wide, n, rows_per_chunk)
     lagged = base + (["control_error"] if has("SV", "PV") else [])
 
-    def build(w):
-        out = [at_offset(c, -m, w, f"{c}_lag{m}m") for m in lags for c in lagged]
-        out += [rolling_time(c, m, s, w, f"{c}_{s}_{m}m") for m in windows for s in ("mean", "std") for c in base]
-        out.append(at_offset(target, horizon, w, "label"))
-        return out
-
-    full = order.over_time(
-        wide, build, ts=ts, tie=tie, partition_by=partition_by,
-        before_us=max(*lags, *windows) * MINUTE, after_us=horizon * MINUTE, rows_per_chunk=rows_per_chunk, n_rows=n,
-    )
+    specs = [at_offset(c, -m, f"{c}_lag{m}m") for m in lags for c in lagged]
+    specs += [rolling_time(c, m, s, f"{c}_{s}_{m}m") for m in windows for s in ("mean", "std") for c in base]
+    specs.append(at_offset(target, horizon, "label"))
+    full = over_spans(wide, specs, ts=ts, tie=tie, partition_by=partition_by, rows_per_chunk=rows_per_chunk, n_rows=n)
     features = [c for c in full.columns if c not in df.columns and c != "label"]
     return full.select(*partition_by, ts, *features, "label").dropna()

@@ -121,17 +121,22 @@ def chunk(
     spec = dict(partition_by=tuple(partition_by), order_by=tuple(order_by))
     if fits_plain_window(df, partition_by, n, size):
         return Chunked(df.withColumn(CHUNK, F.lit(0)), single=True, **spec)
+    key = _key(partition_by, order_columns or [F.col(c) for c in order_by])
+    cuts, steps = cut_points(df, key, n, size)
+    return Chunked(_located(df, cuts, steps, key, CHUNK), single=False, cuts=cuts, steps=steps, **spec)
+
+
+def cut_points(df: DataFrame, key: Column, n: int, size: int) -> tuple[DataFrame, tuple[int, ...]]:
+    """Keys that cut ``n`` rows into chunks of about ``size`` (one row, an array), and the steps of a search among them."""
     n_chunks = min(MAX_CHUNKS, -(-n // size))
     share = min(1.0, n_chunks * _SAMPLES_PER_CHUNK / n)
-    key = _key(partition_by, order_columns or [F.col(c) for c in order_by])
     picked = F.pmod(F.xxhash64("k"), F.lit(_HASH_RANGE)) < int(share * _HASH_RANGE)
     sample = df.select(key.alias("k")).where(picked).distinct()
     every = max(1, _SAMPLES_PER_CHUNK if share < 1 else n // n_chunks)
     cuts = sample.agg(F.array_sort(F.collect_list("k")).alias("a")).select(
         F.filter("a", lambda _, i: i % every == every - 1).alias("cuts")
     )
-    steps = tuple(1 << i for i in reversed(range((2 * n_chunks).bit_length())))
-    return Chunked(_located(df, cuts, steps, key, CHUNK), single=False, cuts=cuts, steps=steps, **spec)
+    return cuts, tuple(1 << i for i in reversed(range((2 * n_chunks).bit_length())))
 
 
 def settle(df: DataFrame, n_rows: int, rows_per_chunk: int | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tagloom.functions import temporal
 from tagloom.operators import order
 from tagloom.operators.order import from_micros, micros
+from tagloom.operators.spans import At, Rolling, over_spans
 
 MINUTE = 60_000_000
 
@@ -45,17 +46,14 @@ def rolling(column: str, rows: int, stat: str, w: WindowSpec, name: str, min_per
     return F.when(F.count(column).over(frame) >= need, value).alias(name)
 
 
-def rolling_time(column: str, minutes: int, stat: str, w: WindowSpec, name: str) -> Column:
+def rolling_time(column: str, minutes: int, stat: str, name: str, min_count: int | None = None) -> Rolling:
     """Rolling statistic over ``(t - minutes, t]`` with at least half as many values as minutes."""
-    frame = w.rangeBetween(-minutes * MINUTE + 1, 0)
-    value = _STATS[stat](column).over(frame)
-    return F.when(F.count(column).over(frame) >= max(1, minutes // 2), value).alias(name)
+    return Rolling(column, minutes * MINUTE, stat, name, max(1, minutes // 2) if min_count is None else min_count)
 
 
-def at_offset(column: str, minutes: int, w: WindowSpec, name: str) -> Column:
+def at_offset(column: str, minutes: int, name: str) -> At:
     """Value at exactly ``t + minutes`` (negative: in the past), NULL when no row is there."""
-    shift = minutes * MINUTE
-    return F.last(column).over(w.rangeBetween(shift, shift)).alias(name)
+    return At(column, minutes * MINUTE, name)
 
 
 def time_lags(
@@ -69,14 +67,8 @@ def time_lags(
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """``{c}_lag{m}m``: the value ``m`` minutes earlier by time, all lags in one shuffle."""
-
-    def build(w):
-        return [at_offset(c, -m, w, f"{c}_lag{m}m") for m in minutes for c in columns]
-
-    return order.over_time(
-        df, build, ts=ts, tie=tie, partition_by=partition_by,
-        before_us=max(minutes, default=0) * MINUTE, rows_per_chunk=rows_per_chunk,
-    )
+    specs = [at_offset(c, -m, f"{c}_lag{m}m") for m in minutes for c in columns]
+    return over_spans(df, specs, ts=ts, tie=tie, partition_by=partition_by, rows_per_chunk=rows_per_chunk)
 
 
 def horizon_label(
@@ -91,9 +83,8 @@ def horizon_label(
     rows_per_chunk: int | None = None,
 ) -> DataFrame:
     """``label(t) = target(t + minutes)``."""
-    return order.over_time(
-        df, lambda w: [at_offset(target, minutes, w, name)], ts=ts, tie=tie,
-        partition_by=partition_by, after_us=minutes * MINUTE, rows_per_chunk=rows_per_chunk,
+    return over_spans(
+        df, [at_offset(target, minutes, name)], ts=ts, tie=tie, partition_by=partition_by, rows_per_chunk=rows_per_chunk
     )
 
 

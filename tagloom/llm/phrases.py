@@ -106,33 +106,36 @@ def recurring(blocks: DataFrame) -> DataFrame:
 
 
 class Passages:
-    """Automata over words: every word of the block is one character, every passage a string."""
+    """Automata over words: every word of the block is a number, every passage a sequence of them."""
 
     def __init__(self, words: list[list[bytes]], hashes: np.ndarray, doc: np.ndarray, known: np.ndarray, least: np.ndarray):
         numbers: dict[bytes, int] = {}
-        # Private and surrogate code points make no difference to the automaton except for surrogates, which are left out.
-        self.lines = ["".join([chr(n if n < 0xD800 else n + 0x800) for n in [numbers.setdefault(w, len(numbers) + 1) for w in ws]]) for ws in words]
+        self.lines = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in ws]) for ws in words]
         at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
         recurs = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
         first_window = np.searchsorted(doc, np.arange(len(words)))
         step = np.flatnonzero(recurs)
         breaks = np.flatnonzero((np.diff(step) != 1) | (np.diff(doc[step]) != 0)) + 1
-        self.passages: dict[str, np.ndarray] = {}
+        self.passages: dict[tuple[int, ...], np.ndarray] = {}
         for run in np.split(step, breaks) if len(step) else []:
             a = int(run[0] - first_window[doc[run[0]]])
             passage = self.lines[doc[run[0]]][a : a + len(run) + WINDOW - 1]
             if passage not in self.passages:
                 self.passages[passage] = least[at[run]]
 
+    @staticmethod
+    def _empty() -> ahocorasick.Automaton:
+        return ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+
     def automata(self) -> Iterator[ahocorasick.Automaton]:
-        automaton, size = ahocorasick.Automaton(), 0
+        automaton, size = self._empty(), 0
         for passage, least in self.passages.items():
             automaton.add_word(passage, (len(passage), least))
             size += len(passage)
             if size > WORDS_PER_AUTOMATON:
                 automaton.make_automaton()
                 yield automaton
-                automaton, size = ahocorasick.Automaton(), 0
+                automaton, size = self._empty(), 0
         if size:
             automaton.make_automaton()
             yield automaton

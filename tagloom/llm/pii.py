@@ -36,7 +36,8 @@ AGAINST = ("version", "isbn", "order", "invoice", "serial", "build", "issue", "t
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
-_DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
+#: A run of digits is tried once, from its first digit.
+_DOTTED = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++)+")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -52,7 +53,7 @@ _IBAN_LEAST, _IBAN_MOST = 15, 34
 _UPPER = "".join(c for c in map(chr, range(0x10000)) if c.isupper() and c.isalpha())
 _LOWER = "".join(c for c in map(chr, range(0x10000)) if c.islower() and c.isalpha())
 _ACCENTS = "\u0300-\u036f"
-_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(FIRST_NAMES)) + rf")\x20[{_UPPER}][{_ACCENTS}]*[{_LOWER}](?:[{_ACCENTS}]*[{_LOWER}]){{1,19}}[{_ACCENTS}]*(?!\w)")
+_NAME = re.compile(r"(?<!\w)(" + "|".join(sorted(FIRST_NAMES)) + rf")\x20[{_UPPER}][{_ACCENTS}]*[{_LOWER}](?:[{_ACCENTS}]*[{_LOWER}])+[{_ACCENTS}]*(?!\w)")
 
 
 def luhn(digits: str) -> bool:

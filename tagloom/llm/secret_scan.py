@@ -43,7 +43,7 @@ RULES = (
     # No rule has an upper length.  Segments are taken whole and not given back, and a first segment of "jwt" without the
     # others is a match to drop, so that no later "eyJ" of the same segment is tried: time is linear in the text.
     # Longer runs than the least length match the same with a counted repeat, and shorter ones fail at once.
-    Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
+    Rule("assign", r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True),
     Rule("access", r"AKIA[A-Z0-9]{16,}", 0, 20, True),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24, True),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tagloom.llm import blocks, phrases, suffixes, warc
@@ -139,3 +140,15 @@ def test_small_payloads_are_all_responses(spark):
     pages = spark.createDataFrame([(1, "u", "abc"), (2, "u", "abc"), (3, "u", "abcdef"), (4, "u", "abcdef")], "page_id long, url string, html string")
     kinds = sorted(r["header"].split("\r\n")[1] for r in warc.records(pages, least_bytes=5).collect())
     assert kinds == ["WARC-Type: response"] * 3 + ["WARC-Type: revisit"]
+
+
+def test_more_distinct_words_than_code_points():
+    many = b" ".join(b"w%d" % i for i in range(1_200_000))
+    shared = many.split()[100:120]
+    docs = [(1, many), (2, b"before " + b" ".join(shared) + b" behind")]
+    block = blocks.Block.of(blocks._row(0, docs))
+    cache = phrases.WordHashes()
+    _, hashes, doc = phrases._windows(block, cache)
+    known = np.sort(hashes[doc == 1][1:9])
+    words, removed = phrases._removed(block, [phrases._found(known, np.full(len(known), 1))], cache)
+    assert not removed[0].any() and removed[1].tolist() == [False] + [True] * 20 + [False]

@@ -3,13 +3,14 @@
 import random
 import re
 import string
+import time
 
 import pytest
 
 from tagloom.llm import pii, secret_scan
 from tests.conftest import DATA
 
-SECRET_KINDS = [("assign", r"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
+SECRET_KINDS = [("assign", r"""(?:(?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 6), ("access", r"AKIA[A-Z0-9]+", 0, 20), ("hex", r"[0-9a-f]+", 0, 24)]
 
 
 def literal_secrets(text):
@@ -140,3 +141,19 @@ def test_long_secrets_are_whole():
 
 def test_alphabet_of_local_parts():
     assert set(string.ascii_letters + string.digits + "._%+-") == set(pii._LOCAL)
+
+
+def test_case_folds_ascii_letters_only():
+    texts = ["\u017fecret=abcdefgh", "to\u212aen=abcdefgh secret: x", "SeCrEt=abcdefgh \u017fecret=abcdefgh to\u212aen=abcdefgh"]
+    for text, spans in zip(texts, secret_scan.find_spans(texts), strict=True):
+        assert base_of(spans) == literal_secrets(text)
+
+
+def test_a_million_digits_take_linear_time():
+    start = time.time()
+    found = pii.candidates("1" * 1_000_000 + " 10.0.0.1")
+    assert [f[1:] for f in found if pii.KINDS[f[0]] == "ip"] == [(1_000_001, 1_000_009)] and time.time() - start < 20
+
+
+def test_long_surnames_are_whole():
+    assert found_by("name", "signed Anna Featherstonehaughington, today") == ["Anna Featherstonehaughington"]

@@ -29,6 +29,35 @@ def corr_matrix(t):
 MOIST = ["temp_PV", "temp_SV", "flow_rate", "pressure", "moisture"]
 
 
+def _wide(i: int) -> str:
+    """Column i of a wide table over events, in SQL that both engines read: its own mix and gaps of every column."""
+    return f"CASE WHEN event_id % {i + 5} <> {i % 3} THEN value * {i + 1} + (event_id * {2 * i + 3}) % {97 + i} END AS w{i}"
+
+
+WIDE = [f"w{i}" for i in range(45)]
+_WIDE_ROWS = f"(SELECT value, {', '.join(map(_wide, range(45)))} FROM events)"
+
+
+_WIDE_PAIRS = ", ".join(f"""struct_pack(var1 := '{a}', var2 := '{b}', r := {r(f'corr({a}, {b})')})""" for a, b in combinations(WIDE[:30], 2))
+
+
+@query("corr_matrix_wide", f"SELECT u.var1, u.var2, u.r FROM (SELECT unnest([{_WIDE_PAIRS}]) AS u FROM {_WIDE_ROWS})")
+def corr_matrix_wide(t):
+    """All pairs of 30 columns, each with gaps of its own: more than one expression per pair is good for."""
+    return rounded(relate.corr_matrix(t.events.selectExpr(*map(_wide, range(30))), WIDE[:30]), "r")
+
+
+@query(
+    "corr_with_target_wide",
+    "SELECT * FROM (" + " UNION ALL ".join(f"""SELECT '{c}' AS "column", {r(f'abs(corr({c}, value))')} AS abs_r FROM {_WIDE_ROWS}""" for c in WIDE)
+    + """) ORDER BY abs_r DESC, "column" LIMIT 10""",
+)
+def corr_with_target_wide(t):
+    """The ten of 45 columns that go most with the target."""
+    wide = t.events.selectExpr("value", *map(_wide, range(45)))
+    return rounded(relate.corr_with_target(wide, "value", WIDE), "abs_r")
+
+
 @query("high_corr_pairs", f"WITH {TAGS} SELECT * FROM ({_corr_sql(MOIST, 'tags')}) WHERE abs(r) > 0.7")
 def high_corr_pairs(t):
     return rounded(relate.high_corr_pairs(t.tags, MOIST), "r")

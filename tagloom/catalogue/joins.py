@@ -110,6 +110,28 @@ def interval_enrich_shuffled(t):
     return joined.select("event_id", "ts", "run_id")
 
 
+OPEN_RUNS = """SELECT e.event_id, s.event_id AS run_id FROM events e
+  JOIN (SELECT *, CASE WHEN event_id % 9 = 0 THEN TIMESTAMP '9999-12-31' ELSE ts + INTERVAL 2 HOUR END AS run_end FROM events WHERE event_type = 'signup') s
+  ON e.user_id = s.user_id AND e.ts BETWEEN s.ts AND s.run_end"""
+
+
+def _open_runs(t, **options):
+    rows = t.events.select("event_id", "ts", F.col("user_id").alias("unit"))
+    end = F.when(F.col("run_id") % 9 == 0, F.lit("9999-12-31").cast("timestamp_ntz")).otherwise(F.col("run_end"))
+    return joins.interval_join(rows, t.unit_runs.withColumn("run_end", end), on=["unit"], **options).select("event_id", "run_id")
+
+
+@query("interval_open_ended", OPEN_RUNS)
+def interval_open_ended(t):
+    """Short runs and runs without an end: each has at most two rows in the index."""
+    return _open_runs(t)
+
+
+@query("interval_open_ended_shuffled", OPEN_RUNS)
+def interval_open_ended_shuffled(t):
+    return _open_runs(t, broadcast_rows=10, hot_rows=20)
+
+
 @query(
     "empty_runs",
     f"WITH {RUNS} SELECT product, run_start FROM runs r WHERE NOT EXISTS (SELECT 1 FROM events e WHERE e.ts BETWEEN run_start AND run_end)",

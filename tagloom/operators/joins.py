@@ -70,8 +70,37 @@ def asof(
     )
 
 
-def _buckets(start: str, end: str, width: int):
-    return F.explode(F.sequence(F.floor(micros(start) / width), F.floor(micros(end) / width)))
+#: Each level's buckets are so many times as long as those of the level below; no width passes 64 bits.
+STEP, TOP = 4, 15
+
+
+def _width(level: int, base: int) -> int:
+    return base * STEP**level
+
+
+def run_pieces(runs: DataFrame, start: str, end: str, base: int) -> DataFrame:
+    """Runs with ``__level`` and ``__b``: at most two rows each, however long a run is.
+
+    A run belongs to the lowest level whose buckets are as long as it is.
+    """
+    length = F.greatest(micros(end) - micros(start), F.lit(1))
+    level = F.least(F.greatest(F.ceil(F.log(float(STEP), length / base)), F.lit(0)), F.lit(TOP)).cast("int")
+    width = F.element_at(F.array(*[F.lit(min(_width(k, base), (1 << 63) - 1)) for k in range(TOP + 1)]), F.col("__level") + 1)
+    placed = runs.where(F.col(start) <= F.col(end)).withColumn("__level", level)
+    return placed.withColumn("__b", F.explode(F.sequence(F.floor(micros(start) / width), F.floor(micros(end) / width))))
+
+
+def levels_of(pieces: DataFrame) -> list[int]:
+    """Levels that hold runs, at most TOP + 1."""
+    return sorted(r[0] for r in pieces.select("__level").distinct().collect())
+
+
+def row_places(rows: DataFrame, ts: str, levels: Sequence[int], base: int) -> DataFrame:
+    """Rows once per level, with the bucket of their time there."""
+    at = [F.struct(F.lit(k).alias("level"), F.floor(micros(ts) / min(_width(k, base), (1 << 63) - 1)).alias("b")) for k in levels]
+    if not at:
+        return rows.withColumns({"__level": F.lit(None).cast("int"), "__b": F.lit(None).cast("long")})
+    return rows.withColumn("__at", F.explode(F.array(*at))).withColumns({"__level": F.col("__at.level"), "__b": F.col("__at.b")}).drop("__at")
 
 
 def interval_join(
@@ -88,20 +117,20 @@ def interval_join(
 ) -> DataFrame:
     """Rows inside a run, both ends included; a row inside two runs appears twice.
 
-    Runs are exploded into the time buckets they touch, which turns the range predicate
-    into an equi-join plus a residual filter: a row has one bucket, so it meets a run
-    once.  Counted small, the exploded runs are broadcast.  Otherwise the join is
-    shuffled, and (key, bucket) groups with more than ``hot_rows`` rows are salted.
+    Runs lie in an index of time buckets of several lengths, each on the level of its own length, so a run that never
+    ends takes two rows as a short one does.  A row has one bucket per level, so it meets a run once; the range
+    predicate becomes an equi-join plus a residual filter.  Counted small, the index is
+    broadcast.  Otherwise the join is shuffled, and (key, bucket) groups with more than ``hot_rows`` rows are salted.
     """
     spark = rows.sparkSession
     width = int(bucket.total_seconds() * 1e6)
     limit = setting(spark, BROADCAST_ROWS) if broadcast_rows is None else broadcast_rows
-    pieces = runs.where(F.col(start) <= F.col(end)).withColumn("__b", _buckets(start, end, width))
-    placed = rows.withColumn("__b", F.floor(micros(ts) / width))
-    keys = [*on, "__b"]
+    pieces = run_pieces(runs, start, end, width)
+    placed = row_places(rows, ts, levels_of(pieces), width)
+    keys = [*on, "__level", "__b"]
     inside = F.col(ts).between(F.col(start), F.col(end))
     if pieces.limit(limit + 1).count() <= limit:
-        return placed.join(F.broadcast(pieces), keys).where(inside).drop("__b")
+        return placed.join(F.broadcast(pieces), keys).where(inside).drop("__level", "__b")
     hot = hot_rows or setting(spark, ROWS_PER_CHUNK)
     sizes = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > hot)
     sizes = sizes.select(*keys, F.ceil(F.col("n") / hot).cast("int").alias("__salts"))
@@ -112,7 +141,7 @@ def interval_join(
         "__salt", F.explode(F.sequence(F.lit(0), F.col("__salts") - 1))
     )
     joined = salted_rows.drop("__salts").join(salted_runs.drop("__salts"), [*keys, "__salt"])
-    return joined.where(inside).drop("__b", "__salt")
+    return joined.where(inside).drop("__level", "__b", "__salt")
 
 
 def _with_salts(df: DataFrame, sizes: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:

@@ -53,6 +53,17 @@ def line_dummies(t):
     return df.select("event_id", *features.line_dummies(df))
 
 
+@query(
+    "line_dummies_long",
+    """SELECT event_id, concat('line_id_', user_id) AS feature, CAST(dense_rank() OVER (ORDER BY user_id) - 1 AS INTEGER) AS code, 1 AS value
+      FROM events WHERE event_id % 5 > 0""",
+)
+def line_dummies_long(t):
+    """The ones of the dummies of any number of categories; a fifth of the rows has none."""
+    df = t.events.select("event_id", F.when(F.col("event_id") % 5 > 0, F.col("user_id")).alias("line_id"))
+    return features.line_dummies_long(df, ["event_id"], limit=10)
+
+
 def _w(frame=""):
     return f"OVER (PARTITION BY unit ORDER BY ts, event_id {frame})"
 

@@ -204,6 +204,24 @@ def pca_variance(t):
     return anomaly.pca_variance(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])
 
 
+@query(
+    "pca_variance_pair",
+    f"""WITH c AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem)
+      SELECT 1 AS component, {r("(1 + r) / 2")} AS ratio, {r("(1 + r) / 2")} AS cumulative FROM c UNION ALL SELECT 2, {r("(1 - r) / 2")}, 1.0 FROM c""",
+)
+def pca_variance_pair(t):
+    """Of two scaled columns the components carry 1 + |r| and 1 - |r|."""
+    return rounded(anomaly.pca_variance(t.lineitem, ["l_quantity", "l_extendedprice"]), "ratio", "cumulative")
+
+
+@query(
+    "process_stability_pair",
+    f"""WITH s AS (SELECT abs(corr(l_quantity, l_extendedprice)) AS r FROM lineitem) SELECT {r("sqrt(1 + r)")} AS pc1_std, sqrt(1 + r) > 2.0 AS unstable FROM s""",
+)
+def process_stability_pair(t):
+    return rounded(anomaly.process_stability(anomaly.process_state(t.lineitem, ["l_quantity", "l_extendedprice"], ["l_orderkey"])), "pc1_std")
+
+
 @query("pca_components")
 def pca_components(t):
     return anomaly.components_needed(anomaly.pca_variance(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
@@ -230,6 +248,22 @@ def isolation_forest(t):
     return scored.select("event_id", "score", "is_anomaly")
 
 
+@query(
+    "anomaly_bounds",
+    "SELECT count(*) AS n, CAST(floor(0.05 * (count(*) - 1)) + 1 AS BIGINT) AS n_at_most, true AS in_range, true AS lowest_flagged FROM events",
+)
+def anomaly_bounds(t):
+    """Rows, the bound on how many lie below the 5 % threshold, and that exactly the lowest scores are flagged."""
+    scored = anomaly.anomaly_scores(t.tags, [*FEATURES, "flow_rate"], ["event_id"], contamination=0.05)
+    score, flagged = F.col("score"), F.col("is_anomaly")
+    found = scored.agg(
+        F.count("score").alias("n"), F.count_if(flagged).alias("flagged"), (F.min(score).between(-1, 0) & F.max(score).between(-1, 0)).alias("in_range"),
+        (F.max(F.when(flagged, score)) < F.min(F.when(~flagged, score))).alias("lowest_flagged"),
+    )
+    most = (F.floor(0.05 * (F.col("n") - 1)) + 1).cast("long")
+    return found.select("n", F.when((F.col("flagged") > 0) & (F.col("flagged") <= most), most).alias("n_at_most"), "in_range", "lowest_flagged")
+
+
 @query("most_anomalous")
 def most_anomalous(t):
     scored = anomaly.anomaly_scores(t.tags, [*FEATURES, "flow_rate"], ["event_id"], contamination=0.05, prepare="scaled")

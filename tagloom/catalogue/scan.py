@@ -217,6 +217,17 @@ def category_codes(t):
     return scalars.category_codes(t.events.select("event_id", "event_type"), "event_type")
 
 
+@query(
+    "category_codes_many",
+    """SELECT l_orderkey, l_linenumber, l_partkey, part, CAST(dense_rank() OVER (ORDER BY part) - 1 AS INTEGER) AS part_code
+      FROM (SELECT *, concat('p', l_partkey, '-', l_suppkey, '-', l_orderkey % 7) AS part FROM lineitem)""",
+)
+def category_codes_many(t):
+    """A dictionary too long to broadcast: about one category for every other row."""
+    name = F.concat(F.lit("p"), "l_partkey", F.lit("-"), "l_suppkey", F.lit("-"), F.col("l_orderkey") % 7)
+    return scalars.category_codes(t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", name.alias("part")), "part", limit=500, rows_per_chunk=5000)
+
+
 @query(
     "rename_drop_assign",
     "SELECT event_id, value AS reading, CASE WHEN value > 100 THEN 1 END AS flag FROM events",

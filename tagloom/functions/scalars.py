@@ -72,15 +72,19 @@ def status_label(value: Column, low: float = 83.0, high: float = 87.0) -> Column
     return F.when(value > high, "高").when(value < low, "低").otherwise("正常")
 
 
-def category_codes(df: DataFrame, column: str, limit: int = 10_000) -> DataFrame:
-    """Add ``<column>_code``: the 0-based rank of the value among the sorted categories.
+def category_codes(df: DataFrame, column: str, limit: int = 10_000, rows_per_chunk: int | None = None) -> DataFrame:
+    """Add ``<column>_code``: the 0-based rank of the value among the sorted categories; NULL for a missing value.
 
-    Categories are few by nature; more than ``limit`` of them is refused, because the
-    code table is broadcast.
+    Up to ``limit`` categories the dictionary is broadcast.  A longer one is ranked by ranges of its values and joined by
+    shuffle, where rows of a frequent value are split by size.
     """
+    from tagloom.operators.order import row_index
+
+    code = f"{column}_code"
     values = df.select(column).where(F.col(column).isNotNull()).distinct()
-    listed = values.limit(limit + 1).agg(F.array_sort(F.collect_list(column)).alias("v"))
-    if listed.select(F.size("v")).first()[0] > limit:
-        raise ValueError(f"{column} has more than {limit} categories")
-    codes = listed.select(F.posexplode("v").alias(f"{column}_code", column))
-    return df.join(F.broadcast(codes), column, "left").select(*df.columns, f"{column}_code")
+    if values.limit(limit + 1).count() <= limit:
+        listed = values.agg(F.array_sort(F.collect_list(column)).alias("v"))
+        codes = F.broadcast(listed.select(F.posexplode("v").alias(code, column)))
+    else:
+        codes = row_index(values, code, order_by=[column], rows_per_chunk=rows_per_chunk).withColumn(code, F.col(code).cast("int"))
+    return df.join(codes, column, "left").select(*df.columns, code)

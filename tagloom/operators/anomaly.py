@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.operators.quality import fill_mean, fill_zero
@@ -91,7 +92,8 @@ def _grow(tree: int, x: np.ndarray, max_depth: int, seed: int) -> list[tuple]:
             nodes.append([tree, node, -1, 0.0, -1, -1, len(rows), depth])
             continue
         f = int(rng.choice(usable))
-        cut = float(rng.uniform(lo[f], hi[f]))
+        # between two neighbouring numbers a draw may be rounded up to the higher one, which would leave no row above
+        cut = float(min(rng.uniform(lo[f], hi[f]), np.nextafter(hi[f], lo[f])))
         nodes.append([tree, node, f, cut, -1, -1, len(rows), depth])
         below = part[:, f] <= cut
         stack.append((rows[~below], depth + 1, node, 1))
@@ -133,37 +135,79 @@ class IsolationForest:
         return df.withColumn(name, scored(*[F.col(c).cast("double") for c in self.columns]))
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Spread 64-bit numbers so that every bit of the result depends on every bit given."""
+    x = x + np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _least_of_each_tree(df: DataFrame, width: int, trees: int, size: int, seed: int, share: float) -> DataFrame:
+    """(tree, h, x): per tree the ``size`` keys with the smallest hashes below ``share`` of all; equal keys count once.
+
+    A task keeps the smallest of its rows per tree and sends only these, so rows are never multiplied.
+    """
+    salts = _mixed(np.arange(trees, dtype=np.uint64) + np.uint64(seed) * np.uint64(1 << 32))
+    top = np.uint64(min(share, 1.0) * (2.0**64 - 2048))
+
+    def merged(h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((*x.T[::-1], h))  # of rows with one key the smallest values stand for it
+        h, x = h[order], x[order]
+        first = np.concatenate([[True], h[1:] != h[:-1]]) if len(h) else np.zeros(0, bool)
+        return h[first][:size], x[first][:size]
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(np.zeros(0, np.uint64), np.zeros((0, width))) for _ in range(trees)]
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns[1:]])
+            for t in range(trees):
+                h = _mixed(key ^ salts[t])
+                bound = top if len(held[t][0]) < size else min(top, held[t][0][-1])
+                near = h <= bound
+                if near.any():
+                    held[t] = merged(np.concatenate([held[t][0], h[near]]), np.concatenate([held[t][1], x[near]]))
+        for t, (h, x) in enumerate(held):
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), t), pa.int32()), pa.array(h.view(np.int64)), pa.array(list(x), pa.list_(pa.float64()))], ["tree", "h", "x"])
+
+    sent = df.mapInArrow(local, "tree int, h bigint, x array<double>")
+
+    def last(pdf: pd.DataFrame) -> pd.DataFrame:
+        h, x = merged(pdf["h"].to_numpy().view(np.uint64), np.stack(pdf["x"].to_numpy()))
+        return pd.DataFrame({"tree": pdf["tree"].iloc[0], "h": h.view(np.int64), "x": list(x)})
+
+    return sent.groupBy("tree").applyInPandas(last, "tree int, h bigint, x array<double>")
+
+
 def fit_isolation_forest(
     df: DataFrame, columns: Sequence[str], key: Sequence[str], trees: int = 100, sample_size: int = 256, seed: int = 42
 ) -> IsolationForest:
-    """Isolation forest (Liu, Ting, Zhou 2008) on hash-drawn samples.
+    """Isolation forest (Liu, Ting, Zhou 2008) on samples drawn by hash, by one rule at every size.
 
-    Rows are drawn per tree by a seeded hash of their key; only the drawn rows (about
-    ``trees * sample_size``) are shuffled, one tree per group.
+    A tree's sample is the ``sample_size`` keys with the smallest hashes of its own, so it depends on the keys alone: not on
+    partitions, nor on repeated rows.  Hashes beyond a bound that far more rows than wanted pass are not
+    sent; should repeated keys leave a tree short, all are taken into account.
     """
     n = df.count()
-    size = min(sample_size, n)
-    spread = df.select(*key, *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
-    share = min(1.0, 2.0 * size / n)
-    if n >= 2 * trees * size:
-        # each row stands for at most one tree: no row is multiplied
-        spread = spread.withColumn("tree", F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(trees)).cast("int"))
-        share = min(1.0, share * trees)
-    else:
-        spread = spread.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-    draw = F.xxhash64(F.lit(seed + 1), "tree", *key)
-    drawn = spread.withColumn("h", draw).where(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
-    ranked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("h", *key)))
-    sample = ranked.where(F.col("r") <= size).select("tree", *[f"x{i}" for i in range(len(columns))])
-    limit = int(np.ceil(np.log2(max(size, 2))))
+    spread = df.select(F.xxhash64(*key).alias("k"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)])
+    enough = (sample_size + 8 * sample_size**0.5 + 16) / max(n, 1)
     names = [c.split()[0] for c in _NODE.split(", ")]
 
-    def grow(pdf: pd.DataFrame) -> pd.DataFrame:
+    def grow(pdf: pd.DataFrame) -> pd.DataFrame:  # ``limit``: depth of a balanced tree over the sample
         tree = int(pdf["tree"].iloc[0])
-        x = pdf.drop(columns="tree").to_numpy()
+        x = np.stack(pdf["x"].to_numpy())
         x = x[np.lexsort(x.T[::-1])]
         return pd.DataFrame(_grow(tree, x, limit, seed), columns=names)
 
+    for share in dict.fromkeys((min(1.0, enough), 1.0)):
+        sample = materialize(_least_of_each_tree(spread, len(columns), trees, sample_size, seed, share))
+        sizes = {r["tree"]: r["count"] for r in sample.groupBy("tree").count().collect()}
+        if len(sizes) == trees and min(sizes.values()) >= sample_size:
+            break
+    size = max(sizes.values(), default=1)
+    limit = int(np.ceil(np.log2(max(size, 2))))
     nodes = sample.groupBy("tree").applyInPandas(grow, _NODE).toPandas()
     built = []
     for _, t in nodes.groupby("tree"):

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions import temporal
-from tagloom.functions.scalars import existing
+from tagloom.functions.scalars import category_codes, existing
 from tagloom.operators import order
 from tagloom.operators.quantiles import quantile_values
 from tagloom.operators.spans import over_spans
@@ -69,10 +69,23 @@ def line_dummies(df: DataFrame, candidates: Sequence[str] = LINE_COLUMNS, limit:
     c = present[0]
     values = df.select(c).where(F.col(c).isNotNull()).distinct().orderBy(c).limit(limit + 1).collect()
     if len(values) > limit:
-        raise ValueError(f"{c} has more than {limit} categories")
+        raise ValueError(f"{c} has more than {limit} categories, too many for columns: use line_dummies_long")
     return [F.coalesce((F.col(c) == F.lit(v[0])).cast("int"), F.lit(0)).alias(f"{c}_{v[0]}") for v in values]
 
 
+def line_dummies_long(df: DataFrame, keys: Sequence[str], candidates: Sequence[str] = LINE_COLUMNS, limit: int = 10_000) -> DataFrame:
+    """``keys, feature, code, value``: the ones of the dummy columns, for any number of categories.
+
+    ``code`` is the feature's place among the sorted categories.  A missing value has no row, as all its dummies are 0.
+    """
+    present, _ = existing(df, candidates)
+    if not present:
+        return df.select(*keys, F.lit(None).cast("string").alias("feature"), F.lit(None).cast("int").alias("code"), F.lit(1).alias("value")).where("1 = 0")
+    c = present[0]
+    coded = category_codes(df.select(*dict.fromkeys([*keys, c])), c, limit).where(F.col(c).isNotNull())
+    return coded.select(*keys, F.concat_ws("_", F.lit(c), F.col(c).cast("string")).alias("feature"), F.col(f"{c}_code").alias("code"), F.lit(1).alias("value"))
+
+
 def create_features(
     df: DataFrame,
     columns: Sequence[str],

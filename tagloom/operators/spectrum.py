@@ -1,10 +1,8 @@
-"""Power spectrum of one series of any length.
+"""Power spectrum of one series of any length, on one path.
 
-Up to ``group_rows`` values one numpy FFT is bounded work.  A longer series is
-transformed with the four-step scheme: values are laid out as an n1 x n2 matrix,
-every column group and then every row group is one small numpy FFT, and Spark shuffles
-between the two.  Lengths without a suitable factor go through Bluestein's convolution,
-whose padded length is a power of two, so the spectrum is exact for every n.
+The four-step scheme lays values out as an n1 x n2 matrix, both sides about the root of n: strips of columns and
+then strips of rows are small numpy FFTs, and Spark shuffles between the two.  Lengths without such factors go through
+Bluestein's convolution, whose padded length is a power of two, so the spectrum is exact for every n.
 """
 
 from __future__ import annotations
@@ -18,7 +16,8 @@ from pyspark.sql import functions as F
 
 from tagloom.operators import order
 
-GROUP_ROWS = 1 << 20
+#: Longest transform of one task, and values of a strip of shorter ones.
+GROUP_ROWS, STRIP_VALUES = 1 << 20, 1 << 18
 _SCHEMA = "k bigint, re double, im double"
 
 
@@ -32,39 +31,42 @@ def _factors(n: int, limit: int) -> tuple[int, int] | None:
     return None
 
 
-def _whole(pdf: pd.DataFrame, n: int) -> pd.DataFrame:
-    x = np.zeros(n, dtype=complex)
-    x[pdf["k"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-    y = np.fft.fft(x)
-    return pd.DataFrame({"k": np.arange(n, dtype=np.int64), "re": y.real, "im": y.imag})
+def _strip(long: int, across: int) -> int:
+    """Transforms of length ``long`` that one group takes: a sixteenth of all ``across``, as far as a strip holds STRIP_VALUES."""
+    return max(1, min(-(-across // 16), STRIP_VALUES // max(long, 1)))
 
 
 def _four_step(signal: DataFrame, n: int, n1: int, n2: int, inverse: bool = False) -> DataFrame:
     """FFT of ``(k, re, im)`` rows; ``k`` missing from the input means zero."""
     sign = 1.0 if inverse else -1.0
-
-    def columns(pdf: pd.DataFrame) -> pd.DataFrame:
-        b = int(pdf["b"].iloc[0])
-        x = np.zeros(n1, dtype=complex)
-        x[(pdf["k"] // n2).to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        y = np.fft.ifft(x) * n1 if inverse else np.fft.fft(x)
-        c = np.arange(n1, dtype=np.int64)
-        y = y * np.exp(sign * 2j * np.pi * ((b * c) % n) / n)
+    wide, high = _strip(n1, n2), _strip(n2, n1)
+
+    def columns(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * wide
+        width = min(wide, n2 - first)
+        x = np.zeros((n1, width), dtype=complex)
+        x[(pdf["k"] // n2).to_numpy(), (pdf["k"] % n2).to_numpy() - first] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        y = np.fft.ifft(x, axis=0) * n1 if inverse else np.fft.fft(x, axis=0)
+        c, b = np.arange(n1, dtype=np.int64)[:, None], first + np.arange(width, dtype=np.int64)[None, :]
+        y = (y * np.exp(sign * 2j * np.pi * ((b * c) % n) / n)).reshape(-1)
+        c, b = np.broadcast_to(c, (n1, width)).reshape(-1), np.broadcast_to(b, (n1, width)).reshape(-1)
         return pd.DataFrame({"c": c, "b": b, "re": y.real, "im": y.imag})
 
-    def rows(pdf: pd.DataFrame) -> pd.DataFrame:
-        c = int(pdf["c"].iloc[0])
-        x = np.zeros(n2, dtype=complex)
-        x[pdf["b"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
-        y = np.fft.ifft(x) * n2 if inverse else np.fft.fft(x)
+    def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        first = int(key[0]) * high
+        height = min(high, n1 - first)
+        x = np.zeros((height, n2), dtype=complex)
+        x[pdf["c"].to_numpy() - first, pdf["b"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
+        y = np.fft.ifft(x, axis=1) * n2 if inverse else np.fft.fft(x, axis=1)
         if inverse:
             y = y / n
-        return pd.DataFrame({"k": c + n1 * np.arange(n2, dtype=np.int64), "re": y.real, "im": y.imag})
+        k = first + np.arange(height, dtype=np.int64)[:, None] + n1 * np.arange(n2, dtype=np.int64)[None, :]
+        return pd.DataFrame({"k": k.reshape(-1), "re": y.real.reshape(-1), "im": y.imag.reshape(-1)})
 
-    first = signal.withColumn("b", F.col("k") % n2).groupBy("b").applyInPandas(
+    first = signal.groupBy(F.floor(F.col("k") % n2 / wide).alias("strip")).applyInPandas(
         columns, "c bigint, b bigint, re double, im double"
     )
-    return first.groupBy("c").applyInPandas(rows, _SCHEMA)
+    return first.groupBy(F.floor(F.col("c") / high).alias("strip")).applyInPandas(rows, _SCHEMA)
 
 
 def _chirp(i, n: int, sign: float):
@@ -98,9 +100,7 @@ def _bluestein(signal: DataFrame, n: int, group_rows: int) -> DataFrame:
 
 def fft(signal: DataFrame, n: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Discrete Fourier transform of ``(k, re, im)`` rows, k = 0..n-1."""
-    if n <= group_rows:
-        return signal.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(lambda pdf: _whole(pdf, n), _SCHEMA)
-    split = _factors(n, group_rows)
+    split = _factors(n, min(group_rows, max(64, 8 * int(n**0.5))))
     return _four_step(signal, n, *split) if split else _bluestein(signal, n, group_rows)
 
 

@@ -11,6 +11,8 @@ WEIGHTS = (3, 1, 2)
 SHARE, CAP = 1.5, 2
 #: Key ranges per source. Only the range that the budget ends in is sorted; more ranges make it smaller.
 RANGES = 65536
+#: Bytes of the table of sources up to which it is broadcast, and tasks over which a source's rows are dealt beyond.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def quality_weight(text: Column) -> Column:
@@ -49,6 +51,21 @@ def source_targets(sizes: DataFrame) -> DataFrame:
     return df.select("m_none", "m_source", "m_total", F.round(target, 6).alias("m_target"))
 
 
+def with_budgets(rows: DataFrame, ends: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Rows with what is known of their source, one row of ``ends`` each.
+
+    Counted to be short, ``ends`` is broadcast.  Otherwise rows of a source are dealt over SALTS tasks, to each of which
+    the source's row is sent, so that no source is the work of one task.
+    """
+    names = [c for c in ends.columns if c not in ("m_none", "m_name")]
+    size = ends.agg(F.coalesce(F.sum(4 * F.length("m_name") + 100), F.lit(0))).first()[0]
+    if size <= broadcast_bytes:
+        return rows.join(F.broadcast(ends), ["m_none", "m_name"])
+    salted = rows.withColumn("m_salt", F.pmod(F.xxhash64("m_key", "m_tie"), F.lit(SALTS)).cast("int"))
+    copies = ends.withColumn("m_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, ["m_none", "m_name", "m_salt"]).select(*rows.columns, *names)
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str = "doc_id", keep: list[str] | None = None) -> DataFrame:
     """Rows of ``docs`` (of the columns ``keep``, all by default) as the struct ``row`` with size, source_size, target and taken.
 
@@ -83,7 +100,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
         .agg(F.min(F.when(F.col("m_upto") >= F.col("m_rest"), F.struct("m_range", (F.col("m_upto") - F.col("m_sum")).alias("m_before")))).alias("m_end"))
         .select("m_none", "m_name", "m_total", "m_target", "m_epochs", "m_rest", F.coalesce("m_end.m_range", F.lit(RANGES)).alias("m_last"), F.coalesce("m_end.m_before", F.lit(0)).alias("m_before"))
     )
-    joined = df.join(ends, ["m_none", "m_name"])
+    joined = with_budgets(df, table(ends))
     inside = F.col("m_range") == F.col("m_last")
     decided = joined.where(~inside).withColumn("m_extra", F.when(F.col("m_range") < F.col("m_last"), F.col("size")).otherwise(F.lit(0).cast("long")))
     ahead = Window.partitionBy("m_none", "m_name").orderBy("m_key", "size", "m_tie").rowsBetween(Window.unboundedPreceding, -1)

@@ -116,3 +116,12 @@ def test_better_documents_come_first_more_often(spark):
     rows = [(i, "word " * 20 if i % 2 else "w#### " * 20, s) for i in range(2000) for s in ("a",)] + [(5000 + i, "word " * 2000, "b") for i in range(100)]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).where("row.source = 'b' OR taken > 0").selectExpr("row.doc_id AS doc_id", "taken", "size").collect()
     assert got and all(r["taken"] <= 2 * r["size"] for r in got)
+
+
+def test_budgets_reach_rows_in_both_ways(odd_docs):
+    from pyspark.sql import functions as F
+
+    rows = odd_docs.select(F.col("source").isNull().alias("m_none"), F.coalesce("source", F.lit("")).alias("m_name"), F.rand(3).alias("m_key"), F.lit(1).alias("m_tie"), "doc_id")
+    ends = rows.groupBy("m_none", "m_name").agg(F.count(F.lit(1)).alias("m_total"))
+    one, other = (sorted(map(repr, mixing.with_budgets(rows, ends, b).select("doc_id", "m_name", "m_total").collect())) for b in (1 << 20, 0))
+    assert one == other and len(one) == odd_docs.count()

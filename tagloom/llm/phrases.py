@@ -60,9 +60,10 @@ def _send(n_buckets: int):
                 first, last = rank[head], rank[np.concatenate([head[1:], [len(hashes)]]) - 1]
                 hashes, spread = hashes[head], last - first
                 at = np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
-                packed = B.pack_sorted(ids.view(np.uint64))
+                # a row carries the ids of its own windows, so that what a block sends does not grow with the number of ranges
+                own = lambda a, b: B.pack_sorted(ids[np.unique([first[a:b], last[a:b]])].view(np.uint64))
                 yield pa.RecordBatch.from_pylist([
-                    {"bucket": k, "block": row["block"], "ids": packed, "hashes": B.pack_sorted(hashes[a:b]), "first": B.pack(first[a:b]), "spread": B.pack(spread[a:b])}
+                    {"bucket": k, "block": row["block"], "ids": own(a, b), "hashes": B.pack_sorted(hashes[a:b]), "first": B.pack(first[a:b]), "spread": B.pack(spread[a:b])}
                     for k, (a, b) in enumerate(zip(at, at[1:])) if a < b
                 ], schema)
 
@@ -75,9 +76,10 @@ def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
     for i, row in enumerate(pdf.itertuples()):
         ids = B.unpack_sorted(row.ids).view(np.int64)
         lo = B.unpack(row.first, np.uint32)
+        at = np.unique([lo, lo + B.unpack(row.spread, np.uint32)], return_inverse=True)[1].reshape(2, -1)
         hashes.append(B.unpack_sorted(row.hashes))
-        first.append(ids[lo])
-        last.append(ids[lo + B.unpack(row.spread, np.uint32)])
+        first.append(ids[at[0]])
+        last.append(ids[at[1]])
         source.append(np.full(len(lo), i, np.int32))
     hashes, first, last, source = map(np.concatenate, (hashes, first, last, source))
     order = np.argsort(hashes, kind="stable")

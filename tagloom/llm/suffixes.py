@@ -142,18 +142,45 @@ def _send(cuts: np.ndarray):
             for row in batch.to_pylist():
                 block = B.Block.of(row)
                 found = _anchors_of(block)
+                found, again = _firsts(found)
                 bucket = _range_of(found["lead"], found["gram"], cuts)
                 order = np.lexsort((found["lead"], bucket))
-                bucket, found, ids = bucket[order], {f: v[order] for f, v in found.items()}, B.pack(block.ids)
+                bucket, found = bucket[order], {f: v[order] for f, v in found.items()}
                 at = np.concatenate([np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), [len(bucket)]]) if len(bucket) else [0]
+                # a row carries the ids of its own anchors, so that what a block sends does not grow with the number of ranges
+                own = lambda a, b: B.pack(block.ids[np.unique(found["doc"][a:b])])
+                if len(again):
+                    yield pa.RecordBatch.from_pylist([{"bucket": -1 - row["block"] % len(_SPARE), "block": row["block"], "ids": B.pack(again)}], schema)
                 yield pa.RecordBatch.from_pylist([
-                    {"bucket": int(bucket[a]), "block": row["block"], "ids": ids, "lead": B.pack_sorted(found["lead"][a:b]), **{f: B.pack(found[f][a:b]) for f in FIELDS[1:]}}
+                    {"bucket": int(bucket[a]), "block": row["block"], "ids": own(a, b), "lead": B.pack_sorted(found["lead"][a:b]), **{f: B.pack(found[f][a:b]) for f in FIELDS[1:]}}
                     for a, b in zip(at, at[1:])
                 ], schema)
 
     return run
 
 
+#: Groups that carry what blocks have cut themselves.
+_SPARE = range(4096)
+
+
+def _firsts(found: dict[str, np.ndarray]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """Anchors without those whose gram and interval a block has had before, and the cuts that these are.
+
+    However often a passage occurs, a block sends it once.
+    """
+    order = multikey_order(found["lead"], found["gram"], found["whole"])
+    same = np.ones(max(len(order) - 1, 0), bool)
+    for f in ("lead", "gram", "whole"):
+        same &= found[f][order[1:]] == found[f][order[:-1]]
+    later = order[1:][same]
+    keep = np.ones(len(order), bool)
+    keep[later] = False
+    cut = np.zeros(len(later), _CUT)
+    cut["doc"], cut["start"] = found["doc"][later], found["at"][later] - found["before"][later]
+    cut["end"] = cut["start"] + found["more"][later] + LENGTH
+    return {f: v[keep] for f, v in found.items()}, cut
+
+
 def multikey_order(*columns: np.ndarray) -> np.ndarray:
     """Stable order by the first column, ties by the next and so on; only ties are looked at again."""
     order = np.argsort(columns[0], kind="stable")
@@ -185,6 +212,8 @@ def _rows(block: np.ndarray, blocks: np.ndarray, edge: bool, records: np.ndarray
 
 def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
     """One range: whole repeats, and edges (first of each interval whose gram has several intervals)."""
+    if pdf["bucket"].iat[0] < 0:
+        return pd.DataFrame({"block": pdf["block"], "edge": False, "payload": pdf["ids"]})
     pdf = pdf.sort_values("block", ignore_index=True)
     got: dict[str, list] = {f: [] for f in (*FIELDS, "id", "source")}
     kinds = dict(zip(FIELDS, (np.uint64, np.uint32, np.uint64, np.uint32, np.uint32, np.uint8, np.uint8)))
@@ -193,7 +222,7 @@ def _compare(pdf: pd.DataFrame) -> pd.DataFrame:
         for f in FIELDS[1:]:
             got[f].append(B.unpack(getattr(row, f), kinds[f]))
         ids = B.unpack(row.ids, np.int64)
-        got["id"].append(ids[got["doc"][-1]])
+        got["id"].append(ids[np.unique(got["doc"][-1], return_inverse=True)[1]])
         got["source"].append(np.full(len(got["doc"][-1]), i, np.int32))
     x = {f: np.concatenate(v) for f, v in got.items()}
     del got
@@ -233,14 +262,14 @@ def _send_edges(cuts: np.ndarray):
                     gram[a : a + (1 << 16)] = grams_at(data, place[a : a + (1 << 16)])
                 bucket = _range_of(lead, (gram >> np.uint64(32)).astype(np.uint32), cuts)
                 order = np.lexsort((lead, bucket))
-                bucket, edges, place, ids = bucket[order], edges[order], place[order], B.pack(block.ids)
+                bucket, edges, place = bucket[order], edges[order], place[order]
                 at = np.concatenate([np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])), [len(bucket)]])
                 rows = []
                 for a, b in zip(at, at[1:]):
                     e, column = edges[a:b], np.arange(_WIDTH)[None, :] - REACH
                     inside = (column >= -e["before"].astype(int)[:, None]) & (column < (e["more"].astype(int) - e["before"] + LENGTH)[:, None])
                     spans = np.where(inside, data[np.maximum(place[a:b, None] + column, 0)], 0).astype(np.uint8)
-                    rows.append({"bucket": int(bucket[a]), "block": row["block"], "ids": ids, "edges": B.pack(e), "bytes": B.pack(np.ascontiguousarray(spans).reshape(-1))})
+                    rows.append({"bucket": int(bucket[a]), "block": row["block"], "ids": B.pack(block.ids[np.unique(e["doc"])]), "edges": B.pack(e), "bytes": B.pack(np.ascontiguousarray(spans).reshape(-1))})
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     return run
@@ -260,7 +289,7 @@ def _compare_edges(pdf: pd.DataFrame) -> pd.DataFrame:
     edges, ids, source, spans = [], [], [], []
     for i, row in enumerate(pdf.itertuples()):
         edges.append(B.unpack(row.edges, _EDGE))
-        ids.append(B.unpack(row.ids, np.int64)[edges[-1]["doc"]])
+        ids.append(B.unpack(row.ids, np.int64)[np.unique(edges[-1]["doc"], return_inverse=True)[1]])
         source.append(np.full(len(edges[-1]), i, np.int32))
         spans.append(B.unpack(row.bytes, np.uint8).reshape(-1, _WIDTH))
     edges, ids, source, spans = map(np.concatenate, (edges, ids, source, spans))

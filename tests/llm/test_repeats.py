@@ -152,3 +152,41 @@ def test_more_distinct_words_than_code_points():
     known = np.sort(hashes[doc == 1][1:9])
     words, removed = phrases._removed(block, [phrases._found(known, np.full(len(known), 1))], cache)
     assert not removed[0].any() and removed[1].tolist() == [False] + [True] * 20 + [False]
+
+
+def _sent_bytes(send, rows, columns):
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema([("block", pa.int64()), ("ids", pa.binary()), ("sizes", pa.binary()), ("data", pa.binary())]))
+    out = [r for b in send(iter([batch])) for r in b.to_pylist()]
+    return sum(len(r[c] or b"") for r in out for c in columns), out
+
+
+@pytest.mark.parametrize("kind", ["words", "bytes"])
+def test_ids_sent_do_not_grow_with_ranges(kind):
+    draw = random.Random(8)
+    docs = [(draw.getrandbits(62), " ".join(str(draw.randrange(10**6)) for _ in range(120)).encode()) for _ in range(1500)]
+    rows = [{k: v for k, v in blocks._row(3, docs).items() if k in ("block", "ids", "sizes", "data")}]
+    few, many = (
+        _sent_bytes(phrases._send(n) if kind == "words" else suffixes._send(np.sort(np.array([draw.getrandbits(62) for _ in range(n - 1)], np.uint64))), rows, ["ids"])[0]
+        for n in (10, 1000)
+    )
+    whole = len(rows[0]["ids"]) * 1000
+    assert many < whole / 5 and many < 12 * few
+
+
+def test_a_passage_is_sent_once_per_block():
+    docs = [(1, b"a" * 300_000), (2, b"b" + b"0123456789" * 30_000), (3, b"x" * 50 + b"a" * 1000)]
+    rows = [{k: v for k, v in blocks._row(0, docs).items() if k in ("block", "ids", "sizes", "data")}]
+    _, out = _sent_bytes(suffixes._send(np.zeros(0, np.uint64)), rows, ["ids"])
+    anchors = sum(len(blocks.unpack(r["at"], np.uint32)) for r in out if r["bucket"] >= 0)
+    cuts = sum(len(blocks.unpack(r["ids"], suffixes._CUT)) for r in out if r["bucket"] < 0)
+    assert anchors < 1000 and cuts > 200_000
+
+
+def test_repeated_text_in_one_and_many_documents_matches_brute_force(spark):
+    rows = [(1, "a" * 5000), (2, "xyz" + "a" * 400), (3, "0123456789" * 120), (4, "q" + "0123456789" * 40), (5, "a" * 120 + "b" + "a" * 120)]
+    want = brute_bytes(rows)
+    for n in (1, 4):
+        got = suffixes.dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(n)).collect()
+        assert {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in got} == want

@@ -182,6 +182,24 @@ def sample_rows(t):
     return aggregates.sample_rows(t.lineitem, 5000, ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"])
 
 
+_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
+
+
+@query("sample_bounds", "SELECT least(count(*), 5000) AS n, least(count(*), 5000) AS n_known, true AS again FROM lineitem")
+def sample_bounds(t):
+    """Size of the sample, how many of its rows are rows of the table, and that another layout gives the same rows."""
+    keys = t.lineitem.select(*_KEYS)
+    one, other = aggregates.sample_rows(keys, 5000, _KEYS), aggregates.sample_rows(keys.repartition(5), 5000, _KEYS)
+    found = one.agg(F.count(F.lit(1)).alias("n")).crossJoin(one.join(keys, _KEYS, "left_semi").agg(F.count(F.lit(1)).alias("n_known")))
+    both = one.join(other, _KEYS).agg(F.count(F.lit(1)).alias("n_both"))
+    return found.crossJoin(both).select("n", "n_known", (F.col("n_both") == F.col("n")).alias("again"))
+
+
+@query("lowest_values", "SELECT event_id, value FROM events ORDER BY value, event_id LIMIT 5")
+def lowest_values(t):
+    return aggregates.bottom_k(t.events, "value", 5, ["event_id"]).select("event_id", "value")
+
+
 @query(
     "extraction_counts",
     f"""WITH {EXTRACTED} SELECT 'product' AS part, run_product AS key, count(*) AS n FROM extracted GROUP BY 2

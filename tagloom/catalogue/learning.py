@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from tagloom.catalogue.base import TAGS, query, r, rounded
 from tagloom.operators import anomaly, linear, models
 from tagloom.operators.scaling import fit_scaler
-from tagloom.plans import moisture
+from tagloom.plans import moisture, report
 
 ORDER = ["ts", "event_id"]
 FEATURES = ["temp_PV", "temp_SV", "pressure"]
@@ -186,17 +188,32 @@ def moisture_model(t):
     return model.metrics
 
 
+SUMMARISED = ["temp_PV", "temp_SV", "flow_rate", "pressure", "moisture"]
+
+
 @query(
     "closing_summary",
-    f"""WITH {TAGS} SELECT count(*) AS n_rows, {r("100.0 * (count(*) - count(flow_rate)) / (count(*) * 5)")} AS missing_pct FROM tags""",
+    f"""WITH {TAGS}, c AS ({" UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, corr({chr(34)}{a}{chr(34)}, {chr(34)}{b}{chr(34)}) AS r FROM tags" for a, b in combinations(SUMMARISED, 2))})
+      SELECT min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n_rows, 5 AS n_features, {r("100.0 * (count(*) - count(flow_rate)) / (count(*) * 5)")} AS missing_pct,
+        (SELECT arg_max(concat(var1, ':', var2), abs(r)) FROM c) AS strongest_pair, {r("(SELECT max(abs(r)) FROM c)")} AS strongest_r, true AS model_known FROM tags""",
 )
 def closing_summary(t):
-    columns = ["temp_PV", "temp_SV", "flow_rate", "pressure", "moisture"]
+    """All columns; of those that depend on the model whether they are known and whether the advices follow from them."""
     make = models.forest("moisture", num_trees=5, max_depth=4)
     metrics, _, fitted = models.cross_validate(t.tags, FEATURES, "moisture", make, order_by=ORDER, folds=2)
     ranks = models.importance_table(t.spark, FEATURES, fitted[-1].stages[-1].featureImportances.toArray())
-    out = moisture.closing_summary(t.tags, columns, "ts", metrics, ranks)
-    return rounded(out.select("n_rows", "missing_pct"), "missing_pct")
+    out = moisture.closing_summary(t.tags, SUMMARISED, "ts", metrics, ranks)
+    pair, error = F.col("strongest_pair"), F.col("quality")
+    advice = (F.col("missing_pct") > 5) == F.array_contains("actions", "improve_data_quality")
+    advice &= (error["r2"] < 0.8) == F.array_contains("actions", "improve_model")
+    known = F.col("top_feature").isin(FEATURES) & (error["mae"] >= 0) & (error["r2"] <= 1) & advice
+    return rounded(
+        out.select(
+            "first_ts", "last_ts", "n_rows", "n_features", "missing_pct", F.concat_ws(":", pair["var1"], pair["var2"]).alias("strongest_pair"),
+            F.abs(pair["r"]).alias("strongest_r"), known.alias("model_known"),
+        ),
+        "missing_pct", "strongest_r",
+    )
 
 
 @query("pca_variance")
@@ -227,6 +244,15 @@ def pca_components(t):
     return anomaly.components_needed(anomaly.pca_variance(t.lineitem, ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]))
 
 
+@query("cluster_bounds", "SELECT count(*) AS n, 8::BIGINT AS n_clusters, true AS found FROM events WHERE (SELECT count(*) FROM events) >= 80")
+def cluster_bounds(t):
+    """Every row has a cluster, there are eight, and the finding counts those that the fit found rows for."""
+    sizes = anomaly.cluster_sizes(anomaly.kmeans_clusters(t.tags, [*FEATURES, "flow_rate"]))
+    said = report.cluster_finding(t.tags, [*FEATURES, "flow_rate"]).agg(F.max("value").alias("k"))
+    counted = sizes.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_clusters"))
+    return counted.crossJoin(said).select("n", "n_clusters", (F.col("k") == F.col("n_clusters")).alias("found"))
+
+
 @query("kmeans_sizes")
 def kmeans_sizes(t):
     return anomaly.cluster_sizes(anomaly.kmeans_clusters(t.tags, [*FEATURES, "flow_rate"]))

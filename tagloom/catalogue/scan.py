@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tagloom.catalogue.base import MINUTES, RUNS, TAGS, query
+from tagloom.catalogue.base import EXTRACTED, MINUTES, RUNS, TAGS, query
 from tagloom.functions import scalars, temporal
 from tagloom.operators import windows
 from tagloom.operators.joins import interval_join
+from tagloom.plans.extraction import extract
 from tagloom.session import shared_dir
 from tagloom.sources import readers, writers
 
@@ -26,6 +27,44 @@ def csv_round_trip(t):
     return readers.read_csv(t.spark, path, EVENT_SCHEMA)
 
 
+_LABEL = "CASE event_type WHEN 'view' THEN '表示' WHEN 'click' THEN 'クリック、' WHEN 'error' THEN '\"故障\"' ELSE '購入' END"
+
+
+@query("csv_encoding", f"SELECT event_id, {_LABEL} AS label FROM events")
+def csv_encoding(t):
+    """Japanese text written and read in Shift_JIS."""
+    path = shared_dir(t.spark)
+    writers.write_csv(t.events.select("event_id", F.expr(_LABEL).alias("label")), path, encoding="Shift_JIS")
+    return readers.read_csv(t.spark, path, "event_id BIGINT, label STRING", encoding="Shift_JIS")
+
+
+@query(
+    "reload_extracted",
+    f"WITH {EXTRACTED} SELECT event_id, ts, \"temp_PV\", flow_rate, run_product AS product, equipment, run_start, run_end, strftime(run_date, '%Y-%m-%d') AS run_date FROM extracted",
+)
+def reload_extracted(t):
+    """An extracted table written as CSV and loaded again with the types of its run columns."""
+    path = shared_dir(t.spark)
+    writers.write_csv(extract(t.tags.select("ts", "event_id", "temp_PV", "flow_rate"), t.schedule), path)
+    out = readers.read_extracted(t.spark, path, "event_id BIGINT, temp_PV DOUBLE, flow_rate DOUBLE")
+    return out.withColumn("run_date", F.col("run_date").cast("string"))
+
+
+@query(
+    "schedule_file",
+    f"WITH {RUNS} SELECT product, equipment, run_start, run_end, strftime(run_date, '%Y-%m-%d') AS run_date FROM runs WHERE (SELECT count(*) FROM events) > 0",
+)
+def schedule_file(t):
+    """The schedule written as a sheet with a sub-header row, read again and turned into runs."""
+    path = shared_dir(t.spark)
+    text = lambda c: F.col(c).cast("string").alias(c)
+    cells = ["date", "product", "equipment", "start_time", "sep", "next_day", "end_time", "total", "note"]
+    sheet = t.schedule.withColumns({"sep": F.lit("～"), "total": F.lit(""), "note": F.lit("")}).select(*map(text, cells))
+    sub = t.spark.createDataFrame([("日付", "品種", "号機", "開始", "", "翌", "終了", "計", "備考")], sheet.schema)
+    writers.write_csv(sub.unionAll(sheet).where(F.lit(t.events.limit(1).count() > 0)).coalesce(1), path)
+    return readers.schedule_runs(readers.read_schedule(t.spark, path)).withColumn("run_date", F.col("run_date").cast("string"))
+
+
 @query("csv_pruned_filtered", "SELECT event_id, value FROM events WHERE value > 85")
 def csv_pruned_filtered(t):
     path = shared_dir(t.spark)

@@ -41,9 +41,14 @@ def components_needed(table: DataFrame) -> DataFrame:
 
 
 def kmeans_clusters(df: DataFrame, columns: Sequence[str], k: int | None = None) -> DataFrame:
-    """Cluster number per row, ``k = min(8, n / 10)`` by default."""
-    data = _scaled_vectors(df, columns)
-    k = k or min(8, df.count() // 10)
+    """Cluster number per row, ``k = min(8, n / 10)`` by default; too few rows for two clusters are one.
+
+    The scaled vectors are written once, for the start, the rounds and the assignment.
+    """
+    data = materialize(_scaled_vectors(df, columns))
+    k = k or min(8, data.count() // 10)
+    if k < 2:
+        return data.drop("x").withColumn("cluster", F.lit(0))
     return KMeans(k=k, seed=42, featuresCol="x", predictionCol="cluster").fit(data).transform(data).drop("x")
 
 

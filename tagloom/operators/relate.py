@@ -179,6 +179,15 @@ def autocorr(
     return df.sparkSession.createDataFrame(found.get(0, []), "lag bigint, r double")
 
 
+def autocorr_many(
+    df: DataFrame, columns: Sequence[str], *, order_by: Sequence[str], max_lag: int = 100, rows_per_chunk: int | None = None
+) -> DataFrame:
+    """``column, lag, r``: :func:`autocorr` of several columns in one pass."""
+    found = _pearson(_Series.of(df, [(c, c) for c in columns], order_by, least=50), lambda n: range(1, min(max_lag, n // 2)) if n >= 50 else (), rows_per_chunk)
+    rows = [(columns[s], k, r) for s, values in found.items() for k, r in values]
+    return df.sparkSession.createDataFrame(rows, "column string, lag bigint, r double")
+
+
 def acf(
     df: DataFrame, column: str, *, order_by: Sequence[str], max_lag: int = 50, rows_per_chunk: int | None = None
 ) -> DataFrame:

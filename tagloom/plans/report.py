@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tagloom.functions.scalars import numeric_columns, text_columns
 from tagloom.operators import aggregates, anomaly, findings, quality, relate, series, spectrum, windows
 from tagloom.operators.findings import finding
+from tagloom.session import materialize
 
 
 def _msg(fmt: str, *columns):
@@ -99,8 +100,9 @@ def pattern_findings(df: DataFrame, ts: str) -> DataFrame:
 
 def period_findings(df: DataFrame, columns: Sequence[str], order_by: Sequence[str]) -> list[DataFrame]:
     out = []
+    table = materialize(relate.autocorr_many(df, columns, order_by=order_by))
     for c in columns:
-        lags = relate.autocorr(df, c, order_by=order_by).where(F.abs("r") > 0.3)
+        lags = table.where((F.col("column") == c) & (F.abs("r") > 0.3))
         first = lags.agg(F.slice(F.array_sort(F.collect_list("lag")), 1, 3).alias("l")).where(F.size("l") > 0)
         text = F.concat(F.lit(f"{c}: 主要周期候補 = ["), F.array_join(F.col("l").cast("array<string>"), ", "), F.lit("]ポイント"))
         out.append(finding(first, "periodicity", "autocorrelation", c, "lag", F.col("l")[0], text))
@@ -173,15 +175,17 @@ def basic_findings(
         normality_findings(quality.jarque_bera(data, columns)),
         category_findings(aggregates.categorical_summary(data, text_columns(data))) if text_columns(data) else None,
         quality_findings(quality.quality_checks(data, ts, file_order or order_by)),
-        cluster_finding(data),
+        cluster_finding(data, columns),
         anomaly_finding(data, columns, [c for c in order_by if c != ts] or [ts]),
     ]
     return aggregates.union_rows(*[f for f in frames if f is not None])
 
 
-def cluster_finding(df: DataFrame) -> DataFrame:
-    n = df.agg(F.least(F.lit(8), F.floor(F.count(F.lit(1)) / 10)).cast("int").alias("k")).where("k >= 2")
-    return finding(n, "clusters", "clusters", None, "k", "k", _msg("データは%d個のクラスタに分類可能", "k"))
+def cluster_finding(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Number of clusters that a fit finds rows for, if there are two or more."""
+    sizes = anomaly.cluster_sizes(anomaly.kmeans_clusters(df, columns))
+    found = sizes.agg(F.count(F.lit(1)).cast("int").alias("k")).where("k >= 2")
+    return finding(found, "clusters", "clusters", None, "k", "k", _msg("データは%d個のクラスタに分類可能", "k"))
 
 
 def anomaly_finding(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -> DataFrame:
@@ -193,14 +197,14 @@ def anomaly_finding(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -
 
 
 def advanced_findings(df: DataFrame, ts: str, order_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """Insights of the six advanced analyses on the first few numeric columns."""
+    """Insights of the six advanced analyses on all numeric columns."""
     key = [c for c in order_by if c != ts] or [ts]
     frames = [
         pattern_findings(df, ts),
-        *period_findings(df, columns[:4], order_by),
-        *season_findings(df, columns[:2], ts, order_by),
-        change_findings(series.change_points(df, columns[:3], order_by=order_by)),
-        *([lag_findings(relate.best_lags(relate.cross_corr(df, columns[:4], order_by=order_by)))] if len(columns) > 1 else []),
+        *period_findings(df, columns, order_by),
+        *season_findings(df, columns, ts, order_by),
+        change_findings(series.change_points(df, columns, order_by=order_by)),
+        *([lag_findings(relate.best_lags(relate.cross_corr(df, columns, order_by=order_by)))] if len(columns) > 1 else []),
         *(state_findings(df, columns, key) if len(columns) > 1 else []),
     ]
     return aggregates.union_rows(*frames)
@@ -235,8 +239,9 @@ def integrated_report(df: DataFrame, basic: DataFrame, advanced: DataFrame) -> D
 def explore(df: DataFrame, *, ts: str = "ts", order_by: Sequence[str], columns: Sequence[str] | None = None) -> dict[str, DataFrame]:
     """All report tables by name."""
     columns = list(columns or numeric_columns(df, exclude=order_by))
-    basic = basic_findings(df, ts, order_by, columns)
-    advanced = advanced_findings(df, ts, order_by, columns)
+    # written once: six of the tables below read them
+    basic = materialize(basic_findings(df, ts, order_by, columns))
+    advanced = materialize(advanced_findings(df, ts, order_by, columns))
     everything = basic.unionByName(advanced)
     return {
         "profile": quality.column_profile(df, order_by),

@@ -20,6 +20,8 @@ def configure(spark: SparkSession) -> SparkSession:
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.execution.arrow.pyspark.enabled", "true")
+    # sheets and tag files come in Japanese encodings, which Spark otherwise refuses
+    spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     _ship_package(spark)
     return spark
 

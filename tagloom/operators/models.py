@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from random import Random
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
@@ -16,6 +18,7 @@ from tagloom.operators.linear import evaluate
 from tagloom.operators.quantiles import quantile_values
 from tagloom.operators.relate import corr_with_target
 from tagloom.operators.scaling import fit_scaler
+from tagloom.session import materialize
 
 
 def select_by_corr(df: DataFrame, features: Sequence[str], label: str, top: int = 50) -> DataFrame:
@@ -94,6 +97,16 @@ def _indexed(df: DataFrame, features, label, order_by, rows_per_chunk):
     return order.row_index(data, "__i", order_by=order_by, n_rows=n, rows_per_chunk=rows_per_chunk), n
 
 
+#: Fits at a time, and the share of training rows kept for early stopping.
+AT_ONCE, TAIL = 4, 0.1
+
+
+def _at_once(work, items: Sequence) -> list:
+    """``work`` of each item, a few at a time: one fit alone leaves most of a cluster idle between its passes."""
+    with ThreadPoolExecutor(AT_ONCE) as pool:
+        return list(pool.map(inheritable_thread_target(work), items))
+
+
 def cross_validate(
     df: DataFrame,
     features: Sequence[str],
@@ -108,24 +121,27 @@ def cross_validate(
 ) -> tuple[DataFrame, DataFrame, list[PipelineModel]]:
     """Fit ``make_model()`` per expanding fold: (metrics per fold and pooled, predictions, models).
 
-    ``fit_on`` says whether the scaler sees the training rows or all rows;
-    ``early_stop`` marks the test rows as the validation set of the learner.
+    ``fit_on`` says whether the scaler sees the training rows or all rows.  With ``early_stop`` the last TAIL of a fold's
+    training rows are the learner's validation set; test rows are seen by neither.  Folds are fitted a few at a time.
     """
     data, n = _indexed(df, features, label, order_by, rows_per_chunk)
-    data = data.persist()
+    data = materialize(data)
     everything = fit_scaler(data, features) if fit_on == "all" else None
-    predictions, models = None, []
     assembler = VectorAssembler(inputCols=list(features), outputCol="x")
-    for fold, (start, end) in enumerate(split_bounds(n, folds), 1):
+
+    def fit(bounds: tuple[int, int]):
+        start, end = bounds
         train, test = data.where(F.col("__i") < start), data.where(F.col("__i").between(start, end - 1))
         scaler = everything or fit_scaler(train, features)
-        fit_rows = scaler.transform(data.where(F.col("__i") < end) if early_stop else train)
+        rows = scaler.transform(train)
         if early_stop:
-            fit_rows = fit_rows.withColumn("__valid", F.col("__i") >= start)
-        model = Pipeline(stages=[assembler, make_model()]).fit(fit_rows)
-        scored = model.transform(scaler.transform(test)).select(
-            F.lit(str(fold)).alias("fold"), *order_by, F.col(label).alias("actual"), F.col("prediction").alias("predicted")
-        )
+            rows = rows.withColumn("__valid", F.col("__i") >= start - max(1, int(start * TAIL)))
+        model = Pipeline(stages=[assembler, make_model()]).fit(rows)
+        return model, model.transform(scaler.transform(test))
+
+    predictions, models = None, []
+    for fold, (model, scored) in enumerate(_at_once(fit, split_bounds(n, folds)), 1):
+        scored = scored.select(F.lit(str(fold)).alias("fold"), *order_by, F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
         predictions = scored if predictions is None else predictions.unionByName(scored)
         models.append(model)
     per_fold = evaluate(predictions, "actual", "predicted", ["fold"])
@@ -168,17 +184,22 @@ def search_params(
 ) -> DataFrame:
     """Trial log ``trial, <params>, rmse`` (mean over expanding folds), best first."""
     data, n = _indexed(df, features, label, order_by, rows_per_chunk)
-    assembled = VectorAssembler(inputCols=list(features), outputCol="x").transform(data).select("__i", "x", label).persist()
+    assembled = materialize(VectorAssembler(inputCols=list(features), outputCol="x").transform(data).select("__i", "x", label))
+    drawn, bounds = draw_params(trials, seed, space), split_bounds(n, folds)
+
+    def error(job: tuple[dict, tuple[int, int]]) -> float:
+        p, (start, end) = job
+        learner = boosted(label, p["max_iter"], p["max_depth"], p["step"], p["subsample"], p["columns"])()
+        learner = learner.clear(learner.validationIndicatorCol) or learner
+        model = learner.fit(assembled.where(F.col("__i") < start))
+        test = model.transform(assembled.where(F.col("__i").between(start, end - 1)))
+        return evaluate(test, label, "prediction").first()["rmse"]
+
+    errors = _at_once(error, [(p, b) for p in drawn for b in bounds])
     rows = []
-    for trial, p in enumerate(draw_params(trials, seed, space), 1):
-        errors = []
-        for start, end in split_bounds(n, folds):
-            learner = boosted(label, p["max_iter"], p["max_depth"], p["step"], p["subsample"], p["columns"])()
-            learner = learner.clear(learner.validationIndicatorCol) or learner
-            model = learner.fit(assembled.where(F.col("__i") < start))
-            test = model.transform(assembled.where(F.col("__i").between(start, end - 1)))
-            errors.append(evaluate(test, label, "prediction").first()["rmse"])
-        rows.append((trial, int(p["max_depth"]), float(p["step"]), int(p["max_iter"]), float(p["subsample"]), float(p["columns"]), sum(errors) / len(errors)))
+    for trial, p in enumerate(drawn):
+        mean = sum(errors[trial * folds : (trial + 1) * folds]) / folds
+        rows.append((trial + 1, int(p["max_depth"]), float(p["step"]), int(p["max_iter"]), float(p["subsample"]), float(p["columns"]), mean))
     schema = "trial int, max_depth int, step double, max_iter int, subsample double, columns double, rmse double"
     return df.sparkSession.createDataFrame(rows, schema).orderBy("rmse", "trial")
 

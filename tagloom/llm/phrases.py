@@ -1,21 +1,24 @@
 """Repeated phrases: confirm recurring passages, then locate them with sharded Aho-Corasick automata.
 
-A window is 13 consecutive words of one document.  Blocks send each distinct window once, with its
-smallest and largest document; grouping by hash range confirms the windows that more
-than one document holds and finds their first document.  What recurs goes back to the blocks
-that hold it.  There the recurring windows of a document join into passages, the passages are
-compiled into automata over words, and all documents of the block stream through them; a
-match carries the first document of every window in it.  A shard holds the passages that
-occur in one block, so automata stay small and the work grows with the corpus, not with its square.
-
-Windows are compared by 64-bit hashes of their words, so two of n distinct windows are taken for
-equal with a probability of about n**2 / 2**65.
+A window is 13 consecutive words of one document.  Blocks send each distinct window once: its hash,
+its first and last document and the place where it starts first.  Grouping by hash range confirms
+the windows that more than one document holds and finds their first document.  Blocks get back
+the one place of each of their confirmed windows, no hashes.  The words at these places make passages;
+every window of a passage is a key of an automaton over words, so that a part of a passage is found
+too, and all documents of the block stream through the automata.  Only these know where else in the block a
+window occurs.  A shard holds at most ``WORDS_PER_AUTOMATON`` words of keys and numbers its own words,
+which are fewer than there are code points.  Passages go to the blocks that hold them, so the work grows
+with the corpus, not with its square.
+
+Whether a window recurs in another block is decided by 64-bit hashes of its words, so two of n distinct windows are
+taken for equal with a probability of about n**2 / 2**65; within a block words are compared.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -28,42 +31,45 @@ from tagloom.llm import blocks as B
 from tagloom.llm.common import WordHashes, shuffle_partitions, windows_of
 
 WINDOW = 13
-#: Windows that one grouping task holds, about; and the words of the passages of one automaton.
+#: Windows that one grouping task holds, about; and the words of the keys of one automaton.
 WINDOWS_PER_TASK, WORDS_PER_AUTOMATON = 4_000_000, 1_000_000
 
 
-def _windows(block: B.Block, cache: WordHashes) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """(words of each document, hash of each window, document of each window)."""
-    words = [t.split() for t in block.texts()]
-    hashes = [windows_of(cache.of(w), WINDOW) for w in words]
-    doc = np.repeat(np.arange(len(words)), [len(h) for h in hashes])
-    return words, np.concatenate([np.zeros(0, np.uint64), *hashes]), doc
+def _windows(block: B.Block, cache: WordHashes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, document, place in it) of each window."""
+    hashes = [windows_of(cache.of(t.split()), WINDOW) for t in block.texts()]
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    return np.concatenate([np.zeros(0, np.uint64), *hashes]), doc, place
+
+
+_SENT = "bucket int, block long, ids binary, hashes binary, first binary, spread binary, place binary"
 
 
 def _send(n_buckets: int):
-    """Blocks -> (bucket, block, payload): the distinct windows of a hash range with their first and last document."""
+    """Blocks -> (bucket, block, payload): the distinct windows of a hash range with their first place and last document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         cuts = np.array([(k << 64) // n_buckets for k in range(1, n_buckets)], np.uint64)
-        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("ids", pa.binary()), ("hashes", pa.binary()), ("first", pa.binary()), ("spread", pa.binary())])
+        schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *[(f, pa.binary()) for f in ("ids", "hashes", "first", "spread", "place")]])
         for batch in batches:
             for row in batch.to_pylist():
                 block = B.Block.of(row)
-                _, hashes, doc = _windows(block, cache)
+                hashes, doc, place = _windows(block, cache)
                 if not len(hashes):
                     continue
-                ids, rank = np.unique(block.ids, return_inverse=True)
                 order = np.argsort(hashes, kind="stable")  # documents ascend by id, so the first of equal ones is the smallest
-                hashes, rank = hashes[order], rank[doc[order]].astype(np.uint32)
+                hashes, doc, place = hashes[order], doc[order].astype(np.uint32), place[order].astype(np.uint32)
                 head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
-                first, last = rank[head], rank[np.concatenate([head[1:], [len(hashes)]]) - 1]
-                hashes, spread = hashes[head], last - first
+                first, last = doc[head], doc[np.concatenate([head[1:], [len(hashes)]]) - 1]
+                hashes, spread, place = hashes[head], last - first, place[head]
                 at = np.concatenate([[0], np.searchsorted(hashes, cuts), [len(hashes)]])
                 # a row carries the ids of its own windows, so that what a block sends does not grow with the number of ranges
-                own = lambda a, b: B.pack_sorted(ids[np.unique([first[a:b], last[a:b]])].view(np.uint64))
+                own = lambda a, b: B.pack_sorted(block.ids[np.unique([first[a:b], last[a:b]])].view(np.uint64))
                 yield pa.RecordBatch.from_pylist([
-                    {"bucket": k, "block": row["block"], "ids": own(a, b), "hashes": B.pack_sorted(hashes[a:b]), "first": B.pack(first[a:b]), "spread": B.pack(spread[a:b])}
+                    {"bucket": k, "block": row["block"], "ids": own(a, b), "hashes": B.pack_sorted(hashes[a:b]), "first": B.pack(first[a:b]), "spread": B.pack(spread[a:b]), "place": B.pack(place[a:b])}
                     for k, (a, b) in enumerate(zip(at, at[1:])) if a < b
                 ], schema)
 
@@ -71,8 +77,8 @@ def _send(n_buckets: int):
 
 
 def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One hash range: for each block the windows that also occur in a document before one of the block's."""
-    hashes, first, last, source = [], [], [], []
+    """One hash range: for each block the places of windows that also occur in a document before one of the block's."""
+    hashes, first, last, place, source = [], [], [], [], []
     for i, row in enumerate(pdf.itertuples()):
         ids = B.unpack_sorted(row.ids).view(np.int64)
         lo = B.unpack(row.first, np.uint32)
@@ -80,88 +86,88 @@ def _confirm(pdf: pd.DataFrame) -> pd.DataFrame:
         hashes.append(B.unpack_sorted(row.hashes))
         first.append(ids[at[0]])
         last.append(ids[at[1]])
+        place.append(lo.astype(np.uint64) << np.uint64(32) | B.unpack(row.place, np.uint32))
         source.append(np.full(len(lo), i, np.int32))
-    hashes, first, last, source = map(np.concatenate, (hashes, first, last, source))
+    hashes, first, last, place, source = map(np.concatenate, (hashes, first, last, place, source))
     order = np.argsort(hashes, kind="stable")
-    hashes, first, last, source = hashes[order], first[order], last[order], source[order]
+    hashes, first, last, place, source = hashes[order], first[order], last[order], place[order], source[order]
     head = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     least = np.repeat(np.minimum.reduceat(first, head), np.diff(np.concatenate([head, [len(hashes)]])))
     hit = last > least
-    hashes, least, source = hashes[hit], least[hit], source[hit]
-    order = np.argsort(source, kind="stable")
+    place, least, source = place[hit], least[hit], source[hit]
+    order = np.lexsort((place, source))
     at = np.searchsorted(source[order], np.arange(len(pdf) + 1))
     out = [(pdf["block"].iat[i], order[a:b]) for i, (a, b) in enumerate(zip(at, at[1:])) if a < b]
-    return pd.DataFrame({"block": [k for k, _ in out], "payload": [_found(hashes[o], least[o]) for _, o in out]}).astype({"block": "int64"})
+    return pd.DataFrame({"block": [k for k, _ in out], "payload": [_found(place[o], least[o]) for _, o in out]}).astype({"block": "int64"})
 
 
-def _found(hashes: np.ndarray, least: np.ndarray) -> bytes:
-    head = B.pack_sorted(hashes)
+def _found(place: np.ndarray, least: np.ndarray) -> bytes:
+    """Ascending places (document in the high half, word in the low one) and the first document of the window there."""
+    head = B.pack_sorted(place)
     return len(head).to_bytes(4, "little") + head + B.pack(least)
 
 
 def recurring(blocks: DataFrame) -> DataFrame:
-    """(block, payload): windows of the block that recur, with the id of their first document."""
+    """(block, payload): one place in the block of each window that recurs, with the id of its first document."""
     spark = blocks.sparkSession
     n = max(shuffle_partitions(spark), B.total_bytes(blocks) // (6 * WINDOWS_PER_TASK))
-    sent = blocks.select("block", "ids", "sizes", "data").mapInArrow(_send(n), "bucket int, block long, ids binary, hashes binary, first binary, spread binary")
+    sent = blocks.select("block", "ids", "sizes", "data").mapInArrow(_send(n), _SENT)
     return sent.groupBy("bucket").applyInPandas(_confirm, "block long, payload binary")
 
 
-class Passages:
-    """Automata over words: every word of the block is a number, every passage a sequence of them."""
-
-    def __init__(self, words: list[list[bytes]], hashes: np.ndarray, doc: np.ndarray, known: np.ndarray, least: np.ndarray):
-        numbers: dict[bytes, int] = {}
-        self.lines = [tuple([numbers.setdefault(w, len(numbers) + 1) for w in ws]) for ws in words]
-        at = np.minimum(np.searchsorted(known, hashes), max(len(known) - 1, 0))
-        recurs = known[at] == hashes if len(known) else np.zeros(len(hashes), bool)
-        first_window = np.searchsorted(doc, np.arange(len(words)))
-        step = np.flatnonzero(recurs)
-        breaks = np.flatnonzero((np.diff(step) != 1) | (np.diff(doc[step]) != 0)) + 1
-        self.passages: dict[tuple[int, ...], np.ndarray] = {}
-        for run in np.split(step, breaks) if len(step) else []:
-            a = int(run[0] - first_window[doc[run[0]]])
-            passage = self.lines[doc[run[0]]][a : a + len(run) + WINDOW - 1]
-            if passage not in self.passages:
-                self.passages[passage] = least[at[run]]
-
-    @staticmethod
-    def _empty() -> ahocorasick.Automaton:
-        return ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-
-    def automata(self) -> Iterator[ahocorasick.Automaton]:
-        automaton, size = self._empty(), 0
-        for passage, least in self.passages.items():
-            automaton.add_word(passage, (len(passage), least))
-            size += len(passage)
-            if size > WORDS_PER_AUTOMATON:
-                automaton.make_automaton()
-                yield automaton
-                automaton, size = self._empty(), 0
-        if size:
-            automaton.make_automaton()
-            yield automaton
-
-
-def _removed(block: B.Block, payloads: list[bytes] | None, cache: WordHashes) -> tuple[list[list[bytes]], list[np.ndarray]]:
+def _codes(words: Iterator[bytes]) -> tuple[dict[bytes, str], int]:
+    """A code of equal length for every distinct word, and that length.
+
+    Nodes of an automaton search their children one by one, so a code has a few letters of 32, not one of
+    thousands.  Its first letter is never one of its others: a key matches whole words only.
+    """
+    numbers: dict[bytes, int] = {}
+    for w in words:
+        numbers.setdefault(w, len(numbers))
+    length = 1
+    while 32**length < len(numbers):
+        length += 1
+    letters = lambda n: chr(1 + n % 32) + "".join(chr(33 + (n >> 5 * k) % 32) for k in range(1, length))
+    return {w: letters(n) for w, n in numbers.items()}, length
+
+
+def _occurrences(flat: list[bytes], at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(starts, which): every place of ``flat`` where the words of the window at ``at[which]`` stand, a shard at a time.
+
+    The windows at ``at`` differ from each other.  Words of no key, and the gap between documents, are runs of the letter 0.
+    """
+    for a in range(0, len(at), per := max(WORDS_PER_AUTOMATON // WINDOW, 1)):
+        keys = at[a : a + per]
+        codes, length = _codes(flat[i] for i in np.unique(keys[:, None] + np.arange(WINDOW)).tolist())
+        other = "\0" * length
+        line = "".join([codes.get(w, other) for w in flat])
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for which, p in enumerate((keys * length).tolist(), a):
+            automaton.add_word(line[p : p + WINDOW * length], which)
+        automaton.make_automaton()
+        hits = np.fromiter(chain.from_iterable(automaton.iter(line)), np.int64).reshape(-1, 2)
+        yield hits[:, 0] // length + 1 - WINDOW, hits[:, 1]
+
+
+def _removed(block: B.Block, payloads: list[bytes] | None) -> tuple[list[list[bytes]], list[np.ndarray]]:
     """(words, removed flag per word) of each document of the block."""
+    words = [t.split() for t in block.texts()]
     if not payloads:
-        words = [t.split() for t in block.texts()]
         return words, [np.zeros(len(w), bool) for w in words]
-    words, hashes, doc = _windows(block, cache)
     parts = [(B.unpack_sorted(p[4 : 4 + (n := int.from_bytes(p[:4], "little"))]), B.unpack(p[4 + n :], np.int64)) for p in payloads]
-    known, least = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    order = np.argsort(known)
-    found = Passages(words, hashes, doc, known[order], least[order])
-    covers = [np.zeros(len(w) + 1, np.int32) for w in words]
-    for automaton in found.automata():
-        for d, line in enumerate(found.lines):
-            own = block.ids[d]
-            for end, (length, firsts) in automaton.iter(line):
-                starts = np.flatnonzero(firsts < own) + (end + 1 - length)
-                covers[d][starts] += 1
-                covers[d][np.minimum(starts + WINDOW, len(line))] -= 1
-    return words, [np.cumsum(c)[:-1] > 0 for c in covers]
+    place, least = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    flat = [w for ws in words for w in (*ws, b"")]  # no word is empty, so this one keeps documents apart
+    starts = np.cumsum([0, *[len(ws) + 1 for ws in words]])
+    at = starts[(place >> np.uint64(32)).astype(np.int64)] + (place & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    order = np.argsort(at)  # neighbours share words, so a shard has few
+    covers = np.zeros(len(flat) + 1, np.int32)
+    for where, which in _occurrences(flat, at[order]):
+        own = block.ids[np.searchsorted(starts, where, "right") - 1]
+        where = where[least[order[which]] < own]
+        covers[where] += 1  # a place holds one window, so no place comes twice
+        covers[where + WINDOW] -= 1
+    removed = np.cumsum(covers) > 0
+    return words, [removed[a : a + len(ws)] for a, ws in zip(starts.tolist(), words)]
 
 
 def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -175,12 +181,11 @@ def dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFr
     both = B.with_payloads(packed, recurring(packed)).select("ids", "sizes", "data", "payloads")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1).to_pylist()[0]
                 block = B.Block.of(row)
-                words, removed = _removed(block, row["payloads"], cache)
+                words, removed = _removed(block, row["payloads"])
                 kept = [b" ".join(np.array(w, object)[~r].tolist() if r.any() else w) for w, r in zip(words, removed)]
                 yield pa.RecordBatch.from_arrays([
                     pa.array(block.ids, pa.int64(), mask=block.null), pa.array([len(w) for w in words], pa.int64()),

@@ -147,13 +147,36 @@ def test_more_distinct_words_than_code_points():
     shared = many.split()[100:120]
     docs = [(1, many), (2, b"before " + b" ".join(shared) + b" behind")]
     block = blocks.Block.of(blocks._row(0, docs))
-    cache = phrases.WordHashes()
-    _, hashes, doc = phrases._windows(block, cache)
-    known = np.sort(hashes[doc == 1][1:9])
-    words, removed = phrases._removed(block, [phrases._found(known, np.full(len(known), 1))], cache)
+    place = (np.uint64(1) << np.uint64(32)) + np.arange(1, 9, dtype=np.uint64)
+    words, removed = phrases._removed(block, [phrases._found(place, np.full(len(place), 1))])
     assert not removed[0].any() and removed[1].tolist() == [False] + [True] * 20 + [False]
 
 
+def test_automata_locate_occurrences_that_were_not_confirmed(monkeypatch):
+    """A block gets one place per window; parts and further occurrences are found by the automata alone."""
+    passage = [b"p%d" % i for i in range(30)]
+    join = lambda *parts: b" ".join(w for p in parts for w in p)
+    docs = [(5, join([b"a"], passage, [b"b"])), (6, join(passage[10:25], [b"c"], passage)), (7, join([b"d", b"e"], passage[:13])), (8, join(passage[:12], [b"f"]))]
+    block = blocks.Block.of(blocks._row(0, docs))
+    place = np.arange(1, 19, dtype=np.uint64)
+    payload = [phrases._found(place, np.full(18, 2))]
+    want = [[False] + [True] * 30 + [False], [True] * 15 + [False] + [True] * 30, [False] * 2 + [True] * 13, [False] * 13]
+    for size in (13, 40, 1_000_000):
+        monkeypatch.setattr(phrases, "WORDS_PER_AUTOMATON", size)
+        assert [r.tolist() for r in phrases._removed(block, payload)[1]] == want
+    own = [phrases._found(place, np.full(18, 5))]
+    assert [bool(r.any()) for r in phrases._removed(block, own)[1]] == [False, True, True, False]
+    monkeypatch.setattr(phrases, "_occurrences", lambda flat, at: [(at, np.arange(len(at)))])
+    assert [bool(r.any()) for r in phrases._removed(block, payload)[1]] == [True, False, False, False]
+
+
+def test_codes_tell_words_apart_and_keep_to_their_borders():
+    codes, length = phrases._codes(b"%d" % (i % 40_000) for i in range(50_000))
+    assert length == 4 and len(set(codes.values())) == 40_000
+    assert {c[0] for c in codes.values()}.isdisjoint(letter for c in codes.values() for letter in c[1:])
+    assert phrases._codes(iter([b"one", b"one"])) == ({b"one": "\x01"}, 1)
+
+
 def _sent_bytes(send, rows, columns):
     import pyarrow as pa
 

@@ -89,6 +89,54 @@ def test_multikey_order_is_a_stable_sort_by_all_columns():
     assert (suffixes.multikey_order(a, b, c) == np.lexsort((c, b, a))).all()
 
 
+def _hot_gram(n=40):
+    """Documents that share 40 bytes in surroundings of their own, some of which come twice."""
+    draw = random.Random(5)
+    noise = lambda k: "".join(draw.choice("abcdefghijklmnop") for _ in range(k))
+    hot = "In case of doubt the licence text rules."
+    around = [(noise(90), noise(90)) for _ in range(n)]
+    rows = [(i, a + hot + b) for i, (a, b) in enumerate(around)]
+    rows += [(100 + i, noise(30) + around[i][0][-draw.randint(0, 90) :] + hot + around[i][1][: draw.randint(0, 90)] + noise(30)) for i in range(0, n, 2)]
+    return rows
+
+
+def test_a_splitter_among_equal_suffixes_loses_nothing(spark, monkeypatch):
+    """Every range holds one interval of the hot gram at most, so only its neighbours know that there are more."""
+    rows = _hot_gram()
+    block = blocks.Block.of(blocks._row(0, [(d, t.encode()) for d, t in rows]))
+    found = suffixes._anchors_of(block)
+    keys = np.unique(suffixes.keys_of([found[f] for f in suffixes.ORDER]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute_bytes(rows)
+    assert sum(w[1] > 0 for w in want.values()) >= 8
+    monkeypatch.setattr(suffixes, "splitters", lambda _, n: keys[1:])
+    for crossing, same in ((suffixes.across, True), (lambda found: found.select("block", "payload").where("1 = 0"), False)):
+        monkeypatch.setattr(suffixes, "across", crossing)
+        got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in suffixes.dedup(docs).collect()}
+        assert (got == want) == same
+
+
+def test_order_beyond_the_first_token_decides(monkeypatch):
+    """Suffixes with one first token: without the later tokens repeats are no neighbours and get lost."""
+    draw = random.Random(4)
+    texts = ["".join(draw.choice("ab") for _ in range(140)) for _ in range(150)]
+    rows = [(i, texts[i % 150]) for i in range(300)]
+    packed = {k: v for k, v in blocks._row(0, [(d, t.encode()) for d, t in rows]).items() if k in ("block", "ids", "sizes", "data")}
+    cut_by = lambda: {int(d) for r in _sent_bytes(suffixes._send(np.zeros(0, "S40")), [packed], ["ids"])[1] if r["bucket"] < 0 for d in blocks.unpack(r["ids"], suffixes._CUT)["doc"]}
+    assert cut_by() == set(range(150, 300))
+    monkeypatch.setattr(suffixes, "multikey_order", lambda *columns: np.argsort(columns[0], kind="stable"))
+    assert len(cut_by()) < 150
+
+
+def test_splitters_follow_the_content(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 8000)
+    packed = blocks.make(spark.createDataFrame(corpus(6, 400), "doc_id long, text string"))
+    cuts = suffixes.splitters(packed, 8)
+    assert len(cuts) == 7 and (np.sort(cuts) == cuts).all() and len(np.unique(cuts)) == 7
+    keys = np.concatenate([suffixes.keys_of([a[f] for f in suffixes.ORDER]) for r in packed.collect() for a in [suffixes._firsts(suffixes._anchors_of(blocks.Block.of(r.asDict())))[0]]])
+    assert np.bincount(np.searchsorted(cuts, keys, "right"), minlength=8).max() < 0.3 * len(keys)
+
+
 def test_long_documents_in_pieces(spark, monkeypatch):
     rows = [(1, "".join(random.Random(9).choice("abcdef ") for _ in range(7000))), (2, "q" * 150)]
     rows.append((3, rows[0][1][1500:6000] + "!" + rows[0][1][:700]))
@@ -191,7 +239,7 @@ def test_ids_sent_do_not_grow_with_ranges(kind):
     docs = [(draw.getrandbits(62), " ".join(str(draw.randrange(10**6)) for _ in range(120)).encode()) for _ in range(1500)]
     rows = [{k: v for k, v in blocks._row(3, docs).items() if k in ("block", "ids", "sizes", "data")}]
     few, many = (
-        _sent_bytes(phrases._send(n) if kind == "words" else suffixes._send(np.sort(np.array([draw.getrandbits(62) for _ in range(n - 1)], np.uint64))), rows, ["ids"])[0]
+        _sent_bytes(phrases._send(n) if kind == "words" else suffixes._send(np.sort(suffixes.keys_of([np.array([draw.getrandbits(62) for _ in range(n - 1)], np.uint64)] * 5))), rows, ["ids"])[0]
         for n in (10, 1000)
     )
     whole = len(rows[0]["ids"]) * 1000
@@ -201,7 +249,7 @@ def test_ids_sent_do_not_grow_with_ranges(kind):
 def test_a_passage_is_sent_once_per_block():
     docs = [(1, b"a" * 300_000), (2, b"b" + b"0123456789" * 30_000), (3, b"x" * 50 + b"a" * 1000)]
     rows = [{k: v for k, v in blocks._row(0, docs).items() if k in ("block", "ids", "sizes", "data")}]
-    _, out = _sent_bytes(suffixes._send(np.zeros(0, np.uint64)), rows, ["ids"])
+    _, out = _sent_bytes(suffixes._send(np.zeros(0, "S40")), rows, ["ids"])
     anchors = sum(len(blocks.unpack(r["at"], np.uint32)) for r in out if r["bucket"] >= 0)
     cuts = sum(len(blocks.unpack(r["ids"], suffixes._CUT)) for r in out if r["bucket"] < 0)
     assert anchors < 1000 and cuts > 200_000

@@ -3,12 +3,12 @@
 A window is 13 consecutive words of one document.  Blocks send each distinct window once: its hash,
 its first and last document and the place where it starts first.  Grouping by hash range confirms
 the windows that more than one document holds and finds their first document.  Blocks get back
-the one place of each of their confirmed windows, no hashes.  The words at these places make passages;
-every window of a passage is a key of an automaton over words, so that a part of a passage is found
-too, and all documents of the block stream through the automata.  Only these know where else in the block a
-window occurs.  A shard holds at most ``WORDS_PER_AUTOMATON`` words of keys and numbers its own words,
-which are fewer than there are code points.  Passages go to the blocks that hold them, so the work grows
-with the corpus, not with its square.
+the one place of each of their confirmed windows, no hashes.  The words at these places make passages,
+which are cut into pieces of seven words: every window of a passage holds one piece, so a part of a passage is found
+too.  The pieces are compiled into automata over words, all documents of the block stream through them, and
+around a hit the windows are compared.  Only this tells where else in the block a window occurs.  A shard holds
+at most ``WORDS_PER_AUTOMATON`` words of pieces and codes its own words.  Passages go to the blocks that
+hold them, so the work grows with the corpus, not with its square.
 
 Whether a window recurs in another block is decided by 64-bit hashes of its words, so two of n distinct windows are
 taken for equal with a probability of about n**2 / 2**65; within a block words are compared.
@@ -31,7 +31,9 @@ from tagloom.llm import blocks as B
 from tagloom.llm.common import WordHashes, shuffle_partitions, windows_of
 
 WINDOW = 13
-#: Windows that one grouping task holds, about; and the words of the keys of one automaton.
+#: Words of a piece: of the pieces of a passage, laid end to end, every window holds one.
+PIECE = (WINDOW + 1) // 2
+#: Windows that one grouping task holds, about; and the words of the pieces of one automaton.
 WINDOWS_PER_TASK, WORDS_PER_AUTOMATON = 4_000_000, 1_000_000
 
 
@@ -134,19 +136,31 @@ def _codes(words: Iterator[bytes]) -> tuple[dict[bytes, str], int]:
 def _occurrences(flat: list[bytes], at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(starts, which): every place of ``flat`` where the words of the window at ``at[which]`` stand, a shard at a time.
 
-    The windows at ``at`` differ from each other.  Words of no key, and the gap between documents, are runs of the letter 0.
+    The windows at ``at`` ascend and differ from each other.  A run of them is a passage, cut into pieces of ``PIECE`` words
+    such that each window holds one as a whole.  Around the hits of the pieces windows are compared word by word.
+    Words of no key, and the gap between documents, are runs of the letter 0.
     """
-    for a in range(0, len(at), per := max(WORDS_PER_AUTOMATON // WINDOW, 1)):
-        keys = at[a : a + per]
+    run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+    into = np.arange(len(at)) - np.repeat(run, np.diff([*run, len(at)]))  # place of a window in its run
+    first = np.flatnonzero(into % PIECE == 0)  # windows from one of these to the next share a piece
+    for a in range(0, len(first), per := max(WORDS_PER_AUTOMATON // PIECE, 1)):
+        low, high = first[a], first[a + per] if a + per < len(first) else len(at)
+        keys, pieces = at[low:high], at[first[a : a + per]] + WINDOW - PIECE
         codes, length = _codes(flat[i] for i in np.unique(keys[:, None] + np.arange(WINDOW)).tolist())
         other = "\0" * length
         line = "".join([codes.get(w, other) for w in flat])
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
-        for which, p in enumerate((keys * length).tolist(), a):
-            automaton.add_word(line[p : p + WINDOW * length], which)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for p in (pieces * length).tolist():
+            automaton.add_word(line[p : p + PIECE * length])
         automaton.make_automaton()
-        hits = np.fromiter(chain.from_iterable(automaton.iter(line)), np.int64).reshape(-1, 2)
-        yield hits[:, 0] // length + 1 - WINDOW, hits[:, 1]
+        hits = np.fromiter((end for end, _ in automaton.iter(line)), np.int64) // length + 1 - PIECE
+        near = np.zeros(len(flat) + 1, np.int32)
+        np.add.at(near, np.maximum(hits - (WINDOW - PIECE), 0), 1)
+        near[hits + 1] -= 1
+        starts, width = np.flatnonzero(np.cumsum(near) > 0), WINDOW * length
+        window = {line[p : p + width]: which for which, p in enumerate((keys * length).tolist(), int(low))}
+        which = np.fromiter((window.get(line[p : p + width], -1) for p in (starts * length).tolist()), np.int64, len(starts))
+        yield starts[which >= 0], which[which >= 0]
 
 
 def _removed(block: B.Block, payloads: list[bytes] | None) -> tuple[list[list[bytes]], list[np.ndarray]]:

@@ -1,11 +1,12 @@
 """Rolling-buffer prediction in event-time order, whatever order and batches rows arrive in.
 
-Rows wait in keyed state, packed by time bucket, until the watermark has passed them.  A timer then releases them in order of
+Rows wait in keyed state until the watermark has passed them: up to PACK rows of a key in one value next to its buffer, which costs
+a few calls of the state per key and micro-batch; more are packed by time bucket.  A timer then releases them in order of
 (time, tie) into the buffer of the last ``length`` predictions, and each gets its answer.  Rows behind the watermark on arrival
 are answered at once with the status LATE and never enter the buffer: filter on it for the side output and its count.
 Neither the size of Arrow batches nor that of micro-batches changes an answer, as long as the delay covers the disorder.
 
-What a task holds is one Arrow batch on arrival, one time bucket of one key on release.
+What a task holds is one Arrow batch and PACK rows on arrival, one time bucket or PACK rows of one key on release.
 """
 
 from __future__ import annotations
@@ -33,6 +34,8 @@ cloudpickle.register_pickle_by_value(_buffer)
 LATE = "遅延データ"
 BUCKET_US = 3_600_000_000
 _ROW = np.dtype([("us", "<i8"), ("tie", "<i8"), ("y", "<f8")])
+#: Rows of a key that wait in one value; a key with more is kept by time bucket.
+PACK = 4096
 #: Draws that one digest gives, four hex digits each.
 _PER_DIGEST = 16
 
@@ -59,48 +62,63 @@ class OrderedBuffer(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        # timer, buffer and waiting rows in one value: every access is a round trip to the JVM
+        self.own = handle.getValueState("own", "timer bigint, held binary, packed binary, spread boolean")
         self.waiting = handle.getMapState("waiting", "bucket bigint", "rows binary")
-        self.held = handle.getListState("held", "y double")
-        self.timer = handle.getValueState("timer", "ms bigint")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         now, first = timerValues.getCurrentWatermarkInMs(), None
+        timer, held, packed, spread = self.own.get() or (None, b"", b"", False)
         for batch in rows:
-            known = batch[self.ts].notna().to_numpy()
-            us = batch[self.ts].astype("datetime64[us]").astype("int64").to_numpy()
+            at, tie = batch[self.ts].to_numpy("datetime64[us]"), batch[self.tie]
+            known, us = ~np.isnat(at), at.view(np.int64)
             arrived = np.zeros(len(batch), _ROW)
-            arrived["us"], arrived["tie"] = us, batch[self.tie].fillna(np.iinfo(np.int64).min).to_numpy()
-            arrived["y"] = self.model.predict(batch[self.model.features].to_numpy(dtype=float))
+            arrived["us"], arrived["tie"] = us, tie.to_numpy() if tie.dtype == np.int64 else tie.fillna(np.iinfo(np.int64).min).to_numpy()
+            arrived["y"] = self.model.predict(np.column_stack([batch[c].to_numpy(dtype=float) for c in self.model.features]))
             late = ~known | (us < now * 1000)
             if late.any():
                 yield self._table(key[0], arrived[late], None, np.where(known[late], LATE, TOO_SHORT), known[late])
             fresh = arrived[~late]
-            if len(fresh):
-                first = min(first, fresh["us"].min()) if first is not None else fresh["us"].min()
-            buckets = fresh["us"] // self.bucket_us
-            for b in np.unique(buckets).tolist():
-                held = self.waiting.getValue((b,))
-                self.waiting.updateValue((b,), ((held[0] if held else b"") + fresh[buckets == b].tobytes(),))
+            if not len(fresh):
+                continue
+            first = min(first, fresh["us"].min()) if first is not None else fresh["us"].min()
+            if not spread and len(packed) // _ROW.itemsize + len(fresh) <= PACK:
+                packed = bytes(packed) + fresh.tobytes()
+                continue
+            if packed:
+                fresh = np.concatenate([np.frombuffer(packed, _ROW), fresh])
+            packed, spread = b"", True
+            self._spread(fresh)
         if first is not None:
-            self._wake(int(first) // 1000 + 1)
+            timer = self._wake(timer, int(first) // 1000 + 1)
+            self._keep(timer, held, packed, spread)
+
+    def _spread(self, fresh: np.ndarray) -> None:
+        """Rows into their time buckets."""
+        buckets = fresh["us"] // self.bucket_us
+        for b in np.unique(buckets).tolist():
+            held = self.waiting.getValue((b,))
+            self.waiting.updateValue((b,), ((bytes(held[0]) if held else b"") + fresh[buckets == b].tobytes(),))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = timerValues.getCurrentWatermarkInMs()
-        self.timer.clear()
-        buckets = sorted(k[0] for k in self.waiting.keys())
-        held = np.array([r[0] for r in self.held.get()], float)
-        rest = None
-        for b in buckets:
-            if b * self.bucket_us >= now * 1000:
-                rest = b * self.bucket_us if rest is None else rest
+        _, held, packed, spread = self.own.get() or (None, b"", b"", False)
+        held, timer, rest = np.frombuffer(held, float), None, None
+        for b in sorted(k[0] for k in self.waiting.keys()) if spread else [None] * bool(packed):
+            if b is not None and b * self.bucket_us >= now * 1000:
+                rest = b * self.bucket_us
                 break
-            rows = np.frombuffer(self.waiting.getValue((b,))[0], _ROW)
+            rows = np.frombuffer(packed if b is None else self.waiting.getValue((b,))[0], _ROW)
             rows = rows[np.lexsort((rows["tie"], rows["us"]))]
             ready = int(np.searchsorted(rows["us"], now * 1000))
-            if ready == len(rows):
-                self.waiting.removeKey((b,))
+            left = rows[ready:].tobytes()
+            if b is None:
+                packed = left
+            elif left:
+                self.waiting.updateValue((b,), (left,))
             else:
-                self.waiting.updateValue((b,), (rows[ready:].tobytes(),))
+                self.waiting.removeKey((b,))
+            if left:
                 rest = int(rows["us"][ready])
             if ready:
                 every = np.concatenate([held, rows["y"][:ready]])
@@ -108,19 +126,21 @@ class OrderedBuffer(StatefulProcessor):
                 held = every[-self.length :]
             if rest is not None:
                 break
-        self.held.put([(float(y),) for y in held])
         if rest is not None:
-            self._wake(max(rest // 1000 + 1, now + 1))
+            timer = self._wake(None, max(rest // 1000 + 1, now + 1))
+        self._keep(timer, held.tobytes(), packed, spread and rest is not None)
 
-    def _wake(self, ms: int) -> None:
+    def _wake(self, before: int | None, ms: int) -> int:
         """One timer per key, at the earliest waiting row."""
-        if self.timer.exists():
-            before = self.timer.get()[0]
+        if before is not None:
             if before <= ms:
-                return
+                return before
             self.handle.deleteTimer(before)
         self.handle.registerTimer(ms)
-        self.timer.update((ms,))
+        return ms
+
+    def _keep(self, timer: int | None, held: bytes, packed: bytes, spread: bool) -> None:
+        self.own.update((timer, bytes(held), bytes(packed), bool(spread)))
 
     def _answers(self, key, rows: np.ndarray, every: np.ndarray, before: int) -> pd.DataFrame:
         """``every``: the buffer's predictions, then the rows' own."""
@@ -128,23 +148,23 @@ class OrderedBuffer(StatefulProcessor):
         interval = None
         if self.resamples:
             interval = np.full((len(rows), 3), np.nan)
-            for i in np.flatnonzero(full).tolist():
-                last = every[before + i + 1 - self.length : before + i + 1]
-                drawn = last[draws(self.seed, key, int(rows["us"][i]), int(rows["tie"][i]), self.resamples, self.length)]
-                interval[i] = drawn.mean(), *np.percentile(drawn, [2.5, 97.5])
+            at = np.flatnonzero(full)
+            for some in np.array_split(at, -(-len(at) // PACK)) if len(at) else []:
+                slots = [draws(self.seed, key, us, tie, self.resamples, self.length) for us, tie in zip(rows["us"][some].tolist(), rows["tie"][some].tolist())]
+                drawn = every[(before + some + 1 - self.length)[:, None] + np.stack(slots)]
+                interval[some, 0], interval[some, 1:] = drawn.mean(axis=1), np.percentile(drawn, [2.5, 97.5], axis=1).T
         return self._table(key, rows, np.where(full, rows["y"], np.nan), np.where(full, OK, TOO_SHORT), interval=interval)
 
     def _table(self, key, rows: np.ndarray, prediction, status, known=None, interval=None) -> pd.DataFrame:
-        ts = pd.Series(rows["us"].astype("datetime64[us]"))
-        out = pd.DataFrame({self.key: [key] * len(rows), self.ts: ts if known is None else ts.where(known), self.tie: rows["tie"]})
-        out["prediction"] = np.nan if prediction is None else prediction
-        out["prediction"] = out["prediction"].astype(object).where(out["prediction"].notna(), None)
-        out["status"] = status
+        at = rows["us"].astype("datetime64[us]")
+        if known is not None:
+            at[~known] = np.datetime64("NaT")
+        nothing = np.full(len(rows), np.nan)  # NaN becomes NULL
+        out = {self.key: [key] * len(rows), self.ts: at, self.tie: rows["tie"], "prediction": nothing if prediction is None else prediction, "status": status.astype(object)}
         if self.resamples:
             for i, name in enumerate(("mean_prediction", "low", "high")):
-                column = pd.Series(np.full(len(rows), np.nan) if interval is None else interval[:, i])
-                out[name] = column.astype(object).where(column.notna(), None)
-        return out
+                out[name] = nothing if interval is None else interval[:, i]
+        return pd.DataFrame(out)
 
     def close(self) -> None:
         pass

@@ -1,5 +1,6 @@
 """Event-time order in streams: no batch size changes an answer, late rows go to the side."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -103,3 +104,78 @@ def test_runs_take_two_rows_at_most(spark):
     rows_ = spark.createDataFrame([("2024-01-02",), ("2024-01-01",)], "t string").select(F.col("t").cast("timestamp_ntz").alias("t"))
     assert joins.interval_join(rows_, runs, ts="t", start="a", end="b").count() == 5
     assert joins.interval_join(rows_, runs.where("1 = 0"), ts="t", start="a", end="b").count() == 0
+
+
+class State:
+    """State of one key that counts its calls."""
+
+    calls = 0
+
+    def __init__(self):
+        self.held = {}
+
+    def __getattr__(self, name):
+        def call(*args):
+            State.calls += 1
+            key = args[0] if "Key" in name or "Value" in name else None
+            if name in ("update", "put", "updateValue"):
+                self.held[key] = args[-1]
+            elif name in ("removeKey", "clear"):
+                self.held.pop(key, None)
+            elif name == "keys":
+                return list(self.held)
+            else:
+                return key in self.held if name == "exists" else self.held.get(key)
+
+        return call
+
+
+class Handle:
+    """Handle and timer values at once; a watermark in days."""
+
+    def __init__(self):
+        self.timers = set()
+
+    getValueState = getMapState = getListState = lambda self, *schema: State()
+
+    def registerTimer(self, ms):
+        State.calls += 1
+        self.timers.add(ms)
+
+    def deleteTimer(self, ms):
+        State.calls += 1
+        self.timers.remove(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def released(sizes, n=200, marks=(0, 40, 90, 400)):
+    """Answers of one key whose rows come in Arrow batches of ``sizes`` in each of three micro-batches; the calls of the state."""
+    us = pd.Series(range(n)).mul(104_729).mod(n) * 43_200_000_000  # twice a day, in no order
+    all_rows = pd.DataFrame({"user_id": 7, "ts": us.astype("datetime64[us]"), "event_id": range(n), "value": [float(i % 13) for i in range(n)]})
+    p, handle, out, State.calls = ordered.OrderedBuffer(MODEL, "user_id", "ts", "event_id", 20, 30, 42, ordered.BUCKET_US), Handle(), [], 0
+    p.init(handle)
+    spans = [(marks[k], marks[k + 1] if k < 2 else 10**6) for k in range(3)]
+    for k, (low, high) in enumerate(spans):
+        rows_ = all_rows[(us >= low * 86_400_000_000) & (us < high * 86_400_000_000)]
+        handle.now = marks[k] * 86_400_000
+        out += p.handleInputRows((7,), iter([rows_[i : i + sizes] for i in range(0, len(rows_), sizes)]), handle)
+        handle.now = marks[k + 1] * 86_400_000 - 3_600_000
+        for ms in sorted(t for t in handle.timers if t <= handle.now):
+            handle.timers.remove(ms)
+            out += p.handleExpiredTimer((7,), handle, None)
+    return pd.concat(out, ignore_index=True), State.calls
+
+
+def test_a_key_costs_few_calls_of_the_state():
+    table, calls = released(1000)
+    assert len(table) == 200 and table["ts"].is_monotonic_increasing and (table["status"] == OK).sum() == 181
+    assert calls <= 3 * 6
+
+
+@pytest.mark.parametrize("pack,sizes", [(5, 1000), (5, 3), (150, 30), (0, 7)])
+def test_a_busy_key_waits_in_buckets_with_the_same_answers(monkeypatch, pack, sizes):
+    want, _ = released(1000)
+    monkeypatch.setattr(ordered, "PACK", max(pack, 1))
+    pd.testing.assert_frame_equal(released(sizes)[0], want)

@@ -18,7 +18,7 @@ from tagloom.operators.linear import evaluate
 from tagloom.operators.quantiles import quantile_values
 from tagloom.operators.relate import corr_with_target
 from tagloom.operators.scaling import fit_scaler
-from tagloom.session import materialize
+from tagloom.session import ROWS_PER_CHUNK, materialize, setting
 
 
 def select_by_corr(df: DataFrame, features: Sequence[str], label: str, top: int = 50) -> DataFrame:
@@ -97,6 +97,16 @@ def _indexed(df: DataFrame, features, label, order_by, rows_per_chunk):
     return order.row_index(data, "__i", order_by=order_by, n_rows=n, rows_per_chunk=rows_per_chunk), n
 
 
+def _written(data: DataFrame, n: int, rows_per_chunk: int | None) -> DataFrame:
+    """The indexed rows written once.  More than one chunk of them are spread evenly over all tasks, and so is every fold's part:
+    in index order the early rows, which all folds train on, would be the work of one or two tasks."""
+    size = rows_per_chunk or setting(data.sparkSession, ROWS_PER_CHUNK)
+    if n > size:
+        parts = max(4 * data.sparkSession.sparkContext.defaultParallelism, -(-4 * n // size))
+        data = data.repartition(min(parts, order.MAX_CHUNKS), "__i").sortWithinPartitions("__i")  # sorted: bagging goes by place
+    return materialize(data)
+
+
 #: Fits at a time, and the share of training rows kept for early stopping.
 AT_ONCE, TAIL = 4, 0.1
 
@@ -125,7 +135,7 @@ def cross_validate(
     training rows are the learner's validation set; test rows are seen by neither.  Folds are fitted a few at a time.
     """
     data, n = _indexed(df, features, label, order_by, rows_per_chunk)
-    data = materialize(data)
+    data = _written(data, n, rows_per_chunk)
     everything = fit_scaler(data, features) if fit_on == "all" else None
     assembler = VectorAssembler(inputCols=list(features), outputCol="x")
 
@@ -184,7 +194,7 @@ def search_params(
 ) -> DataFrame:
     """Trial log ``trial, <params>, rmse`` (mean over expanding folds), best first."""
     data, n = _indexed(df, features, label, order_by, rows_per_chunk)
-    assembled = materialize(VectorAssembler(inputCols=list(features), outputCol="x").transform(data).select("__i", "x", label))
+    assembled = _written(VectorAssembler(inputCols=list(features), outputCol="x").transform(data).select("__i", "x", label), n, rows_per_chunk)
     drawn, bounds = draw_params(trials, seed, space), split_bounds(n, folds)
 
     def error(job: tuple[dict, tuple[int, int]]) -> float:

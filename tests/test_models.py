@@ -2,6 +2,8 @@
 
 import numpy as np
 import pytest
+from pyspark.ml import Estimator
+from pyspark.ml.feature import SQLTransformer
 from pyspark.sql import functions as F
 
 from tagloom.operators import anomaly, linear, models, series, spectrum
@@ -111,3 +113,23 @@ def test_qq_of_normal_quantiles(spark):
     x = [NormalDist(5, 2).inv_cdf((k + 0.5) / 300) for k in range(300)]
     fit = series.qq_fit(series.qq_table(signal(spark, x), "x", ["i"])).first()
     assert fit["r"] > 0.999 and fit["slope"] == pytest.approx(2, rel=0.02) and fit["intercept"] == pytest.approx(5)
+
+
+class Probe(Estimator):
+    """A learner that notes how its training rows lie in the tasks."""
+
+    def __init__(self, seen):
+        super().__init__()
+        self.seen = seen
+
+    def _fit(self, dataset):
+        self.seen.append(sorted(r["count"] for r in dataset.groupBy(F.spark_partition_id()).count().collect()))
+        return SQLTransformer(statement="SELECT *, 0.0D AS prediction FROM __THIS__")
+
+
+def test_training_rows_of_every_fold_are_spread_over_the_tasks(spark):
+    n, seen = 4800, []
+    df = spark.range(n).select("id", F.col("id").cast("double").alias("a"), F.lit(1.0).alias("y"))
+    models.cross_validate(df, ["a"], "y", lambda: Probe(seen), order_by=["id"], rows_per_chunk=400)
+    assert sorted(map(sum, seen)) == [n * k // 6 for k in range(1, 6)]
+    assert all(len(s) >= 4 and s[-1] <= sum(s) / 2 for s in seen)

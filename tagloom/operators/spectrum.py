@@ -2,7 +2,8 @@
 
 The four-step scheme lays values out as an n1 x n2 matrix, both sides about the root of n: strips of columns and
 then strips of rows are small numpy FFTs, and Spark shuffles between the two.  Lengths without such factors go through
-Bluestein's convolution, whose padded length is a power of two, so the spectrum is exact for every n.
+Bluestein's convolution, whose padded length is a power of two, so the spectrum is exact for every n.  A length too long for
+two sides is cut into more: the rows of the matrix are then transformed by the same scheme.
 """
 
 from __future__ import annotations
@@ -36,13 +37,46 @@ def _strip(long: int, across: int) -> int:
     return max(1, min(-(-across // 16), STRIP_VALUES // max(long, 1)))
 
 
-def _four_step(signal: DataFrame, n: int, n1: int, n2: int, inverse: bool = False) -> DataFrame:
-    """FFT of ``(k, re, im)`` rows; ``k`` missing from the input means zero."""
-    sign = 1.0 if inverse else -1.0
+def _parts(n: int, limit: int) -> tuple[int, ...] | None:
+    """``n`` as a product of as few factors as possible, each at most ``limit`` and not far from the others."""
+    count = 2
+    while limit**count < n:
+        count += 1
+    while 1 << count <= n:
+        out, rest = [], n
+        for left in range(count, 1, -1):
+            near = min(limit, round(rest ** (1 / left)))
+            side = next((d for d in range(near, 0, -1) if rest % d == 0), 1)
+            out.append(side)
+            rest //= side
+        if rest <= min(limit, max(64, 8 * int(n ** (1 / count)))):
+            return (*out, rest)
+        if count > 3 and limit**count > n * n:
+            return None
+        count += 1
+    return None
+
+
+def _powers(m: int, limit: int) -> tuple[int, ...]:
+    """The power of two ``m`` as a product of as few powers of two as possible, none above ``limit``."""
+    bits = m.bit_length() - 1
+    count = -(-bits // (max(limit, 2).bit_length() - 1))
+    return tuple(1 << (bits // count + (i < bits % count)) for i in range(count))
+
+
+def _four_step(signal: DataFrame, n: int, *sides: int, inverse: bool = False) -> DataFrame:
+    """FFT of ``(k, re, im)`` rows, ``n`` the product of the sides; ``k`` missing from the input means zero."""
+    out = _transform(signal.select(F.lit(0).cast("bigint").alias("g"), "k", "re", "im"), n, sides, inverse).select("k", "re", "im")
+    return out.select("k", *[(F.col(c) / F.lit(float(n))).alias(c) for c in ("re", "im")]) if inverse else out
+
+
+def _transform(signal: DataFrame, n: int, sides: Sequence[int], inverse: bool) -> DataFrame:
+    """Transforms of length ``n`` of every series ``g`` of ``(g, k, re, im)`` rows, not scaled."""
+    sign, n1, n2 = 1.0 if inverse else -1.0, sides[0], n // sides[0]
     wide, high = _strip(n1, n2), _strip(n2, n1)
 
     def columns(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(key[0]) * wide
+        first = int(key[1]) * wide
         width = min(wide, n2 - first)
         x = np.zeros((n1, width), dtype=complex)
         x[(pdf["k"] // n2).to_numpy(), (pdf["k"] % n2).to_numpy() - first] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
@@ -50,23 +84,26 @@ def _four_step(signal: DataFrame, n: int, n1: int, n2: int, inverse: bool = Fals
         c, b = np.arange(n1, dtype=np.int64)[:, None], first + np.arange(width, dtype=np.int64)[None, :]
         y = (y * np.exp(sign * 2j * np.pi * ((b * c) % n) / n)).reshape(-1)
         c, b = np.broadcast_to(c, (n1, width)).reshape(-1), np.broadcast_to(b, (n1, width)).reshape(-1)
-        return pd.DataFrame({"c": c, "b": b, "re": y.real, "im": y.imag})
+        return pd.DataFrame({"g": int(key[0]), "c": c, "b": b, "re": y.real, "im": y.imag})
 
     def rows(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        first = int(key[0]) * high
+        first = int(key[1]) * high
         height = min(high, n1 - first)
         x = np.zeros((height, n2), dtype=complex)
         x[pdf["c"].to_numpy() - first, pdf["b"].to_numpy()] = pdf["re"].to_numpy() + 1j * pdf["im"].to_numpy()
         y = np.fft.ifft(x, axis=1) * n2 if inverse else np.fft.fft(x, axis=1)
-        if inverse:
-            y = y / n
         k = first + np.arange(height, dtype=np.int64)[:, None] + n1 * np.arange(n2, dtype=np.int64)[None, :]
-        return pd.DataFrame({"k": k.reshape(-1), "re": y.real.reshape(-1), "im": y.imag.reshape(-1)})
+        return pd.DataFrame({"g": int(key[0]), "k": k.reshape(-1), "re": y.real.reshape(-1), "im": y.imag.reshape(-1)})
 
-    first = signal.groupBy(F.floor(F.col("k") % n2 / wide).alias("strip")).applyInPandas(
-        columns, "c bigint, b bigint, re double, im double"
+    first = signal.groupBy("g", F.floor(F.col("k") % n2 / wide).alias("strip")).applyInPandas(
+        columns, "g bigint, c bigint, b bigint, re double, im double"
     )
-    return first.groupBy(F.floor(F.col("c") / high).alias("strip")).applyInPandas(rows, _SCHEMA)
+    if len(sides) == 2:
+        return first.groupBy("g", F.floor(F.col("c") / high).alias("strip")).applyInPandas(rows, f"g bigint, {_SCHEMA}")
+    # every row c of the matrix is a series of its own
+    inner = _transform(first.select((F.col("g") * n1 + F.col("c")).alias("g"), F.col("b").alias("k"), "re", "im"), n2, sides[1:], inverse)
+    g = F.col("g")
+    return inner.select(F.floor(g / n1).alias("g"), (g % n1 + F.col("k") * n1).alias("k"), "re", "im")
 
 
 def _chirp(i, n: int, sign: float):
@@ -82,25 +119,25 @@ def _times(re, im, cr, ci):
 def _bluestein(signal: DataFrame, n: int, group_rows: int) -> DataFrame:
     m = 1 << (2 * n - 1).bit_length()
     m1 = 1 << (m.bit_length() // 2)
-    m2 = m // m1
-    if max(m1, m2) > group_rows:
-        raise ValueError(f"a series of {n} rows needs group_rows >= {max(m1, m2)}")
+    sides = (m1, m // m1) if max(m1, m // m1) <= group_rows else _powers(m, group_rows)
     k, re, im = F.col("k"), F.col("re"), F.col("im")
     a = signal.select("k", *_times(re, im, *_chirp(k, n, -1.0)))
     index = signal.sparkSession.range(n).withColumnRenamed("id", "k")
     cr, ci = _chirp(k, n, 1.0)
     kernel = index.select("k", cr.alias("re"), ci.alias("im"))
     kernel = kernel.unionByName(kernel.where("k > 0").withColumn("k", F.lit(m) - F.col("k")))
-    fa = _four_step(a, m, m1, m2)
-    fb = _four_step(kernel, m, m1, m2).withColumnsRenamed({"re": "br", "im": "bi"})
+    fa = _four_step(a, m, *sides)
+    fb = _four_step(kernel, m, *sides).withColumnsRenamed({"re": "br", "im": "bi"})
     product = fa.join(fb, "k").select("k", *_times(re, im, F.col("br"), F.col("bi")))
-    back = _four_step(product, m, m1, m2, inverse=True).where(k < n)
+    back = _four_step(product, m, *sides, inverse=True).where(k < n)
     return back.select("k", *_times(re, im, *_chirp(k, n, -1.0)))
 
 
 def fft(signal: DataFrame, n: int, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Discrete Fourier transform of ``(k, re, im)`` rows, k = 0..n-1."""
     split = _factors(n, min(group_rows, max(64, 8 * int(n**0.5))))
+    if not split and n > group_rows * group_rows:
+        split = _parts(n, group_rows)
     return _four_step(signal, n, *split) if split else _bluestein(signal, n, group_rows)
 
 

@@ -133,3 +133,12 @@ def test_training_rows_of_every_fold_are_spread_over_the_tasks(spark):
     models.cross_validate(df, ["a"], "y", lambda: Probe(seen), order_by=["id"], rows_per_chunk=400)
     assert sorted(map(sum, seen)) == [n * k // 6 for k in range(1, 6)]
     assert all(len(s) >= 4 and s[-1] <= sum(s) / 2 for s in seen)
+
+
+@pytest.mark.parametrize("n,group_rows", [(300, 8), (293, 8), (293, 16), (64, 3), (1000, 10), (1000, 12)])
+def test_spectrum_is_exact_beyond_the_square_of_a_group(spark, n, group_rows):
+    x = np.random.default_rng(n).normal(size=n)
+    got = {round(r["frequency"] * n): r["power"] for r in spectrum.periodogram(signal(spark, x), "x", order_by=["i"], group_rows=group_rows).collect()}
+    want = np.abs(np.fft.fft((x - x.mean()) / x.std(ddof=1))) ** 2
+    assert sorted(got) == list(range(1, (n + 1) // 2))
+    assert np.allclose([got[k] for k in sorted(got)], want[1 : (n + 1) // 2])

@@ -77,3 +77,19 @@ def test_no_group_holds_the_series():
     for n in (100_000, 262_144):
         n1, n2 = spectrum._factors(n, 8 * int(n**0.5))
         assert spectrum._strip(n1, n2) * n1 <= n / 10 and spectrum._strip(n2, n1) * n2 <= n / 10
+
+
+def test_distinct_counts_in_parts(spark, monkeypatch):
+    from tagloom.operators import aggregates, quality, quantiles
+
+    monkeypatch.setattr(quantiles, "ROWS_PER_GROUPING", 50)
+    df = spark.range(400).selectExpr("id AS k", "IF(id % 5 = 0, NULL, id % 7) AS a", "IF(id < 390, 'x', 'y') AS b", "CAST(NULL AS DOUBLE) AS e", "1.0D AS d")
+    found = quality.column_profile(df, ["k"])
+    assert {r["column"]: r["n_distinct"] for r in found.collect()} == {"k": 400, "a": 7, "b": 2, "e": 0, "d": 1}
+    plan = found._jdf.queryExecution().toString()
+    assert "Expand" not in plan and "hashpartitioning" in plan
+    twice = df.union(df.where("k % 4 = 0")).withColumn("k", F.when(F.col("k") > 0, F.col("k")))
+    assert aggregates.duplicate_rows(twice).first()["n_duplicates"] == 100
+    constant = quality.quality_checks(df).where("kind = 'constant_column'")
+    assert {r["column"]: r["value"] for r in constant.collect()} == {"e": 0.0, "d": 1.0}
+    assert "Expand" not in constant._jdf.queryExecution().toString()

@@ -111,7 +111,7 @@ def _written(data: DataFrame, n: int, rows_per_chunk: int | None) -> DataFrame:
 AT_ONCE, TAIL = 4, 0.1
 
 
-def _at_once(work, items: Sequence) -> list:
+def at_once(work, items: Sequence) -> list:
     """``work`` of each item, a few at a time: one fit alone leaves most of a cluster idle between its passes."""
     with ThreadPoolExecutor(AT_ONCE) as pool:
         return list(pool.map(inheritable_thread_target(work), items))
@@ -150,7 +150,7 @@ def cross_validate(
         return model, model.transform(scaler.transform(test))
 
     predictions, models = None, []
-    for fold, (model, scored) in enumerate(_at_once(fit, split_bounds(n, folds)), 1):
+    for fold, (model, scored) in enumerate(at_once(fit, split_bounds(n, folds)), 1):
         scored = scored.select(F.lit(str(fold)).alias("fold"), *order_by, F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
         predictions = scored if predictions is None else predictions.unionByName(scored)
         models.append(model)
@@ -205,7 +205,7 @@ def search_params(
         test = model.transform(assembled.where(F.col("__i").between(start, end - 1)))
         return evaluate(test, label, "prediction").first()["rmse"]
 
-    errors = _at_once(error, [(p, b) for p in drawn for b in bounds])
+    errors = at_once(error, [(p, b) for p in drawn for b in bounds])
     rows = []
     for trial, p in enumerate(drawn):
         mean = sum(errors[trial * folds : (trial + 1) * folds]) / folds

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tagloom.functions.scalars import numeric_columns, text_columns
-from tagloom.operators import aggregates, anomaly, findings, quality, relate, series, spectrum, windows
+from tagloom.operators import aggregates, anomaly, findings, models, order, quality, relate, series, spectrum, windows
 from tagloom.operators.findings import finding
 from tagloom.session import materialize
 
@@ -165,20 +165,29 @@ def basic_findings(
     ``file_order`` is the order rows arrived in, if a column holds it: time that runs
     backwards can only be seen along it.
     """
-    data = df.select(*dict.fromkeys([ts, *order_by, *file_order, *columns, *text_columns(df)]))
-    frames = [
-        shape_findings(quality.shape_stats(data, columns)),
-        missing_findings(quality.missing_summary(data)),
-        sampling_findings(windows.sampling_stats(data, ts, order_by=order_by), ts),
-        outlier_findings(quality.outliers(data, columns)),
-        correlation_findings(relate.high_corr_pairs(data, columns)),
-        normality_findings(quality.jarque_bera(data, columns)),
-        category_findings(aggregates.categorical_summary(data, text_columns(data))) if text_columns(data) else None,
-        quality_findings(quality.quality_checks(data, ts, file_order or order_by)),
-        cluster_finding(data, columns),
-        anomaly_finding(data, columns, [c for c in order_by if c != ts] or [ts]),
-    ]
-    return aggregates.union_rows(*[f for f in frames if f is not None])
+    data = _read_once(df.select(*dict.fromkeys([ts, *order_by, *file_order, *columns, *text_columns(df)])))
+    return _together(
+        lambda: [shape_findings(quality.shape_stats(data, columns))],
+        lambda: [missing_findings(quality.missing_summary(data))],
+        lambda: [sampling_findings(windows.sampling_stats(data, ts, order_by=order_by), ts)],
+        lambda: [outlier_findings(quality.outliers(data, columns))],
+        lambda: [correlation_findings(relate.high_corr_pairs(data, columns))],
+        lambda: [normality_findings(quality.jarque_bera(data, columns))],
+        lambda: [category_findings(aggregates.categorical_summary(data, text_columns(data)))] if text_columns(data) else [],
+        lambda: [quality_findings(quality.quality_checks(data, ts, file_order or order_by))],
+        lambda: [cluster_finding(data, columns)],
+        lambda: [anomaly_finding(data, columns, [c for c in order_by if c != ts] or [ts])],
+    )
+
+
+def _read_once(df: DataFrame) -> DataFrame:
+    """The columns of a report, written if they are more than one chunk: its analyses read them dozens of times."""
+    return order.settle(df, df.count())
+
+
+def _together(*analyses: Callable[[], list[DataFrame]]) -> DataFrame:
+    """Findings of all analyses in the order given.  Their passes over the data are made a few at a time."""
+    return aggregates.union_rows(*[f for frames in models.at_once(lambda analysis: analysis(), analyses) for f in frames])
 
 
 def cluster_finding(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -198,16 +207,16 @@ def anomaly_finding(df: DataFrame, columns: Sequence[str], key: Sequence[str]) -
 
 def advanced_findings(df: DataFrame, ts: str, order_by: Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Insights of the six advanced analyses on all numeric columns."""
-    key = [c for c in order_by if c != ts] or [ts]
-    frames = [
-        pattern_findings(df, ts),
-        *period_findings(df, columns, order_by),
-        *season_findings(df, columns, ts, order_by),
-        change_findings(series.change_points(df, columns, order_by=order_by)),
-        *([lag_findings(relate.best_lags(relate.cross_corr(df, columns, order_by=order_by)))] if len(columns) > 1 else []),
-        *(state_findings(df, columns, key) if len(columns) > 1 else []),
-    ]
-    return aggregates.union_rows(*frames)
+    key, several = [c for c in order_by if c != ts] or [ts], len(columns) > 1
+    df = _read_once(df)
+    return _together(
+        lambda: [pattern_findings(df, ts)],
+        lambda: period_findings(df, columns, order_by),
+        *[lambda c=c: season_findings(df, [c], ts, order_by) for c in columns],
+        lambda: [change_findings(series.change_points(df, columns, order_by=order_by))],
+        lambda: [lag_findings(relate.best_lags(relate.cross_corr(df, columns, order_by=order_by)))] if several else [],
+        lambda: state_findings(df, columns, key) if several else [],
+    )
 
 
 def integrated_report(df: DataFrame, basic: DataFrame, advanced: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tagloom.operators import order
+from tagloom.operators.forests import CellForest
 from tagloom.operators.linear import evaluate
 from tagloom.operators.quantiles import quantile_values
 from tagloom.operators.relate import corr_with_target
@@ -160,7 +161,7 @@ def cross_validate(
 
 
 def forest(label: str, num_trees: int = 100, max_depth: int = 10):
-    return lambda: RandomForestRegressor(featuresCol="x", labelCol=label, numTrees=num_trees, maxDepth=max_depth, seed=42)
+    return lambda: CellForest(featuresCol="x", labelCol=label, numTrees=num_trees, maxDepth=max_depth, seed=42)
 
 
 def boosted(label: str, max_iter: int = 1000, max_depth: int = 6, step: float = 0.1, subsample: float = 0.8, columns: float = 0.8):

@@ -3,10 +3,11 @@
 import numpy as np
 import pytest
 from pyspark.ml import Estimator
-from pyspark.ml.feature import SQLTransformer
+from pyspark.ml.feature import SQLTransformer, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, RandomForestRegressionModel
 from pyspark.sql import functions as F
 
-from tagloom.operators import anomaly, linear, models, series, spectrum
+from tagloom.operators import anomaly, forests, linear, models, series, spectrum
 from tests.conftest import rows
 
 
@@ -142,3 +143,81 @@ def test_spectrum_is_exact_beyond_the_square_of_a_group(spark, n, group_rows):
     want = np.abs(np.fft.fft((x - x.mean()) / x.std(ddof=1))) ** 2
     assert sorted(got) == list(range(1, (n + 1) // 2))
     assert np.allclose([got[k] for k in sorted(got)], want[1 : (n + 1) // 2])
+
+
+def _sloped(spark, n):
+    """Two features, the second of nine values, and a label with a bend."""
+    a, b = (F.xxhash64("id") % 1000 / 100).alias("a"), (F.col("id") % 9).cast("double").alias("b")
+    df = spark.range(n).select(a, b).withColumn("y", F.col("a") * 3 + F.when(F.col("b") > 4, 7.0).otherwise(0.0))
+    return VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df)
+
+
+def test_forest_of_many_rows_needs_no_more_jobs_for_deeper_trees(spark):
+    """MLlib's fit reads the rows once per level."""
+    df, jobs = _sloped(spark, 120_000).cache(), []
+    df.count()
+    for depth in (2, 6):
+        spark.sparkContext.setJobGroup(f"forest-{depth}", "")
+        models.forest("y", num_trees=4, max_depth=depth)().fit(df)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"forest-{depth}")))
+    spark.sparkContext._jsc.clearJobGroup()
+    df.unpersist()
+    assert jobs[0] == jobs[1]
+
+
+def test_forest_of_cells_is_mllibs_model(spark, monkeypatch, tmp_path):
+    df, fewer = _sloped(spark, 4000), models.forest("y", num_trees=20, max_depth=6)().fit(_sloped(spark, 4000))
+    monkeypatch.setattr(forests, "FEW_ROWS", 0)
+    fit = models.forest("y", num_trees=20, max_depth=6)().fit(df)
+    again = models.forest("y", num_trees=20, max_depth=6)().fit(df)
+    assert type(fit) is forests.CellForestModel and type(fewer) is RandomForestRegressionModel
+    fit.save(str(tmp_path / "model"))
+    stored = RandomForestRegressionModel.load(str(tmp_path / "model"))
+    assert stored.getNumTrees == 20 and max(t.depth for t in stored.trees) == 6 and stored.getMaxDepth() == 6
+    wide = _sloped(spark, 300).union(VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(spark.createDataFrame([(-99.0, 50.0, 0.0), (99.0, -1.0, 0.0)], "a double, b double, y double")))
+    got = rows(fit.transform(wide), "a", "b", "prediction")
+    assert got == rows(stored.transform(wide), "a", "b", "prediction") == rows(again.transform(wide), "a", "b", "prediction")
+    error = lambda m: linear.evaluate(m.transform(df), "y", "prediction").first()["r2"]
+    assert error(fit) == pytest.approx(error(fewer), abs=0.03) and error(fit) > 0.9
+    assert fit.featureImportances.toArray() == pytest.approx(fewer.featureImportances.toArray(), abs=0.1)
+
+
+def test_tree_of_sums_is_mllibs_tree(spark):
+    """Every row once and all features: nothing is drawn, so both trees must be the same."""
+    df = _sloped(spark, 3000).withColumn("a", F.round("a")).drop("x")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="x").transform(df).withColumn("y", F.col("y") + F.col("a") * F.col("b"))
+    fit = DecisionTreeRegressor(featuresCol="x", labelCol="y", maxDepth=5).fit(df)
+    data = df.select("a", "b", "y", F.col("a").alias("k")).toPandas()
+    cuts = [forests.thresholds(data[c].to_numpy(), 32) for c in ("a", "b")]
+    cell = np.searchsorted(cuts[0], data["a"]) * (len(cuts[1]) + 1) + np.searchsorted(cuts[1], data["b"])
+    sums = np.stack([np.bincount(cell, v, (len(cuts[0]) + 1) * (len(cuts[1]) + 1)) for v in (np.ones(len(data)), data["y"], data["y"] ** 2)])
+    nodes = forests.grow(sums, cuts, 5, 2, np.random.default_rng(0))
+    assert len(nodes) == fit.numNodes and nodes["left"].max() < len(nodes)
+    at = np.zeros(len(data), int)
+    for _ in range(5):
+        n = nodes.iloc[at]
+        value = np.where(n["feature"] == 0, data["a"], data["b"])
+        at = np.where(n["left"] < 0, at, np.where(value <= n["threshold"], n["left"], n["right"]))
+    want = sorted(r["prediction"] for r in fit.transform(df).select("prediction").collect())
+    assert np.allclose(np.sort(nodes["prediction"].to_numpy()[at]), want)
+
+
+def test_rows_are_drawn_with_poisson_weights(spark, monkeypatch):
+    """The rows of one crowded cell, in blocks: as many in all as there are rows, and as much spread."""
+    monkeypatch.setattr(forests, "BLOCK", 700)
+    n, trees = 5000, 300
+    df = spark.range(n).select(F.when(F.col("id") < n - 1, 3).otherwise(5).cast("int").alias("cell"), F.col("id").cast("double").alias("y"))
+    drawn = df.mapInArrow(forests._drawn(trees, 1), "tree int, part int, cells binary, sums binary").toPandas()
+    weight = np.zeros((trees, 2))
+    for _, r in drawn.iterrows():
+        cells, sums = np.frombuffer(r["cells"], np.int32), np.frombuffer(r["sums"]).reshape(3, -1)
+        weight[r["tree"], (cells == 5).astype(int)] += sums[0]
+        assert np.all(sums[1] ** 2 <= sums[0] * sums[2] * (1 + 1e-9))
+    assert weight[:, 0].mean() == pytest.approx(n - 1, abs=5 * (n / trees) ** 0.5) and weight[:, 0].var() == pytest.approx(n, rel=0.4)
+    assert weight[:, 1].mean() == pytest.approx(1, abs=0.3) and weight[:, 1].var() == pytest.approx(1, abs=0.4)
+
+
+def test_thresholds_are_between_values_or_at_equal_shares():
+    assert forests.thresholds(np.array([1.0, 3.0, 3.0, 7.0]), 4).tolist() == [2.0, 5.0]
+    assert forests.thresholds(np.ones(9), 4).tolist() == []
+    assert forests.thresholds(np.arange(100.0), 4).tolist() == [24.5, 49.5, 74.5]

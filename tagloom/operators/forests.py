@@ -9,7 +9,7 @@ rows themselves grows with their number.  Thresholds, feature subsets and stoppi
 from __future__ import annotations
 
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import ceil, prod
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.ml.util import DefaultParamsWriter
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tagloom.session import shared_dir
+from tagloom.session import materialize, shared_dir
 
 #: Up to so many rows MLlib grows the forest; so does it beyond so many possible cells (tree, cell and three sums: 28 bytes).
 FEW_ROWS, MAX_CELLS = 100_000, 1 << 16
@@ -34,7 +34,7 @@ _HANDLED = {"featuresCol", "labelCol", "predictionCol", "numTrees", "maxDepth",
 _SUMS = "tree int, part int, cells binary, sums binary"
 _NODE = (
     "tree int, id int, prediction double, impurity double, weight double, total double, squares double, gain double, "
-    "left int, right int, feature int, threshold double"
+    "left int, right int, feature int, threshold double, cells binary"
 )
 
 
@@ -54,16 +54,13 @@ class CellForest(RandomForestRegressor):
         # tasks of neighbouring size, each with few of the cells; a crowded cell is split
         sums = binned.hint("rebalance", F.col("cell")).mapInArrow(_drawn(trees, seed), _SUMS)
         nodes = sums.groupBy("tree").applyInPandas(_grown(cuts, depth, trees, seed), _NODE)
-        path = shared_dir(dataset.sparkSession)
-        self._save(nodes, path, len(cuts))
-        model = RandomForestRegressionModel.load(path)
-        model.__class__ = CellForestModel  # a second wrapper would lose the model's Java side with the first
-        model.cuts, model.table = cuts, _cell_means(dataset.sparkSession.read.parquet(f"{path}/data"), cuts)
-        return self._copyValues(model)
-
-    def _save(self, nodes: DataFrame, path: str, features: int) -> None:
-        """The nodes as a model in MLlib's file format."""
-        spark = nodes.sparkSession
+        grown = materialize(nodes)
+        means = grown.where("id = 0").select("tree", "cells").groupBy().applyInPandas(_cell_means, "means binary").collect()[0][0]
+        return self._copyValues(CellForestModel(cuts, np.frombuffer(means), lambda: self._stored(grown, len(cuts))))
+
+    def _stored(self, nodes: DataFrame, features: int) -> RandomForestRegressionModel:
+        """MLlib's model of the nodes, by way of its file format."""
+        spark, path = nodes.sparkSession, shared_dir(nodes.sparkSession)
         inner = F.col("left") >= 0
         split = F.struct(
             F.col("feature").alias("featureIndex"),
@@ -81,16 +78,38 @@ class CellForest(RandomForestRegressor):
         saved = [(i, json.dumps({**tree, "uid": f"{self.uid}_{i}"}), 1.0) for i in range(trees)]
         spark.createDataFrame(saved, "_1 int, _2 string, _3 double").coalesce(1).write.parquet(f"{path}/treesMetadata")
         DefaultParamsWriter.saveMetadata(self, path, spark, {"class": f"{package}.RandomForestRegressionModel", "numFeatures": features, "numTrees": trees})
+        return RandomForestRegressionModel.load(path)
 
 
 class CellForestModel(RandomForestRegressionModel):
-    """MLlib's model, also when it is saved.  The forest is constant on a cell, so rows get the mean of all trees for theirs."""
+    """MLlib's model; its trees are loaded when they are asked for, as the driver would hold all nodes of each fold's forest.
+
+    The forest is constant on a cell, so rows get the mean of all trees for theirs.
+    """
+
+    def __init__(self, cuts: Sequence[np.ndarray], table: np.ndarray, load: Callable[[], RandomForestRegressionModel]):
+        self._java, self._load = None, None
+        super().__init__()
+        self.cuts, self.table, self._load = cuts, table, load
+
+    @property
+    def _java_obj(self):
+        if self._load is not None:
+            load, self._load = self._load, None
+            loaded = load()
+            self._java, loaded._java_obj = loaded._java_obj, None  # taken over: a wrapper that ends takes its Java object along
+        return self._java
 
-    cuts: Sequence[np.ndarray] = ()
-    table: np.ndarray | None = None
+    @_java_obj.setter
+    def _java_obj(self, value) -> None:
+        self._java, self._load = value, None
+
+    def __del__(self) -> None:
+        if self._java is not None:
+            super().__del__()
 
     def _transform(self, dataset: DataFrame) -> DataFrame:
-        if self.table is None or self.getLeafCol():
+        if self.getLeafCol():
             return super()._transform(dataset)
         cuts, table = self.cuts, self.table
 
@@ -101,25 +120,11 @@ class CellForestModel(RandomForestRegressionModel):
         return dataset.withColumn(self.getPredictionCol(), predict(vector_to_array(F.col(self.getFeaturesCol()))))
 
 
-def _cell_means(stored: DataFrame, cuts: Sequence[np.ndarray]) -> np.ndarray:
+def _cell_means(roots: pd.DataFrame) -> pd.DataFrame:
     """Per cell the mean of all trees, added up in MLlib's order."""
-    split = F.col("nodeData.split")
-    columns = [F.col(f"nodeData.{c}").alias(c) for c in ("id", "prediction", "leftChild")]
-    nodes = stored.select("treeID", *columns, split["featureIndex"].alias("f"), F.get(split["leftCategoriesOrThreshold"], 0).alias("threshold"))
-    sizes = [len(c) + 1 for c in cuts]
-    cells = np.arange(prod(sizes))
-    bins, total, trees = np.array(np.unravel_index(cells, sizes)), np.zeros(len(cells)), 0
-    for _, tree in nodes.toPandas().sort_values(["treeID", "id"]).groupby("treeID"):
-        left, f, threshold = tree["leftChild"].to_numpy(), tree["f"].to_numpy(), tree["threshold"].to_numpy()
-        place = np.zeros(len(tree), np.int64)
-        for j, c in enumerate(cuts):
-            place[f == j] = np.searchsorted(c, threshold[f == j])
-        at = np.zeros(len(cells), np.int64)
-        while (inner := left[at] >= 0).any():
-            at = np.where(inner, left[at] + (bins[f[at], cells] > place[at]), at)
-        total += tree["prediction"].to_numpy()[at]
-        trees += 1
-    return total / trees
+    cells = roots.sort_values("tree")["cells"]
+    total = sum(np.frombuffer(c) for c in cells)
+    return pd.DataFrame({"means": [(total / len(cells)).tobytes()]})
 
 
 def _cuts(sample: DataFrame, bins: int) -> list[np.ndarray]:
@@ -212,22 +217,23 @@ def _grown(cuts: Sequence[np.ndarray], depth: int, trees: int, seed: int):
         for _, p in parts.sort_values("part").iterrows():  # in order: sums are the same each time
             cells = np.frombuffer(p["cells"], np.int32)
             total[:, cells] += np.frombuffer(p["sums"]).reshape(3, -1)
-        nodes = grow(total, cuts, depth, per_node, np.random.default_rng([seed, tree]))
+        nodes, means = grow(total, cuts, depth, per_node, np.random.default_rng([seed, tree]))
         nodes.insert(0, "tree", tree)
+        nodes["cells"] = [means.tobytes(), *[None] * (len(nodes) - 1)]
         return nodes
 
     return run
 
 
-def grow(sums: np.ndarray, cuts: Sequence[np.ndarray], depth: int, per_node: int, rng: np.random.Generator) -> pd.DataFrame:
-    """Nodes of the tree over all cells, level by level; children come after their parents.
+def grow(sums: np.ndarray, cuts: Sequence[np.ndarray], depth: int, per_node: int, rng: np.random.Generator) -> tuple[pd.DataFrame, np.ndarray]:
+    """Nodes of the tree over all cells, level by level, children after their parents; and the prediction of every cell.
 
     ``sums``: weight, label and squared label of every cell, the first feature's bins varying slowest.
     """
     sizes = [len(c) + 1 for c in cuts]
-    known = np.flatnonzero(sums[0])
-    s, bins = sums[:, known], np.array(np.unravel_index(known, sizes))
-    node, ids, levels = np.zeros(len(known), np.int64), np.zeros(1, np.int64), []
+    cells, s, means = np.arange(sums.shape[1]), sums, np.zeros(sums.shape[1])
+    bins = np.array(np.unravel_index(cells, sizes))
+    node, ids, levels = np.zeros(len(cells), np.int64), np.zeros(1, np.int64), []
     for level in range(depth + 1):
         k = len(ids)
         weight, total, squares = sums = np.stack([np.bincount(node, v, k) for v in s])
@@ -260,11 +266,12 @@ def grow(sums: np.ndarray, cuts: Sequence[np.ndarray], depth: int, per_node: int
                 "feature": np.where(split, feature, -1), "threshold": [cuts[f][p] if yes else 0.0 for f, p, yes in zip(feature, place, split)],
             })
         )
+        going = split[node]
+        means[cells[~going]] = (total / weight)[node[~going]]
         if not split.any():
             break
         ids = ids[-1] + 1 + np.arange(2 * split.sum())
-        going = split[node]
-        node, s, bins = node[going], s[:, going], bins[:, going]
+        cells, node, s, bins = cells[going], node[going], s[:, going], bins[:, going]
         above = bins[feature[node], np.arange(len(node))] > place[node]
         node = 2 * nth[node] + above
-    return pd.concat(levels, ignore_index=True)
+    return pd.concat(levels, ignore_index=True), means

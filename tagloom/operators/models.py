@@ -151,7 +151,8 @@ def cross_validate(
         return model, model.transform(scaler.transform(test))
 
     predictions, models = None, []
-    for fold, (model, scored) in enumerate(at_once(fit, split_bounds(n, folds)), 1):
+    fitted = at_once(fit, split_bounds(n, folds)[::-1])  # the longest first: none is left to run alone
+    for fold, (model, scored) in enumerate(fitted[::-1], 1):
         scored = scored.select(F.lit(str(fold)).alias("fold"), *order_by, F.col(label).alias("actual"), F.col("prediction").alias("predicted"))
         predictions = scored if predictions is None else predictions.unionByName(scored)
         models.append(model)

@@ -171,6 +171,7 @@ def test_forest_of_cells_is_mllibs_model(spark, monkeypatch, tmp_path):
     fit = models.forest("y", num_trees=20, max_depth=6)().fit(df)
     again = models.forest("y", num_trees=20, max_depth=6)().fit(df)
     assert type(fit) is forests.CellForestModel and type(fewer) is RandomForestRegressionModel
+    assert fit._java is None  # the driver has no trees until they are asked for
     fit.save(str(tmp_path / "model"))
     stored = RandomForestRegressionModel.load(str(tmp_path / "model"))
     assert stored.getNumTrees == 20 and max(t.depth for t in stored.trees) == 6 and stored.getMaxDepth() == 6
@@ -191,7 +192,7 @@ def test_tree_of_sums_is_mllibs_tree(spark):
     cuts = [forests.thresholds(data[c].to_numpy(), 32) for c in ("a", "b")]
     cell = np.searchsorted(cuts[0], data["a"]) * (len(cuts[1]) + 1) + np.searchsorted(cuts[1], data["b"])
     sums = np.stack([np.bincount(cell, v, (len(cuts[0]) + 1) * (len(cuts[1]) + 1)) for v in (np.ones(len(data)), data["y"], data["y"] ** 2)])
-    nodes = forests.grow(sums, cuts, 5, 2, np.random.default_rng(0))
+    nodes, means = forests.grow(sums, cuts, 5, 2, np.random.default_rng(0))
     assert len(nodes) == fit.numNodes and nodes["left"].max() < len(nodes)
     at = np.zeros(len(data), int)
     for _ in range(5):
@@ -200,6 +201,7 @@ def test_tree_of_sums_is_mllibs_tree(spark):
         at = np.where(n["left"] < 0, at, np.where(value <= n["threshold"], n["left"], n["right"]))
     want = sorted(r["prediction"] for r in fit.transform(df).select("prediction").collect())
     assert np.allclose(np.sort(nodes["prediction"].to_numpy()[at]), want)
+    assert np.array_equal(nodes["prediction"].to_numpy()[at], means[cell])
 
 
 def test_rows_are_drawn_with_poisson_weights(spark, monkeypatch):
